@@ -1,0 +1,47 @@
+"""Look a table up by key when some keys hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it holds more than 1/HOT_SHARE of the rows and
+# more than HOT_ROWS of them.  There can be fewer than HOT_SHARE hot keys, however
+# large the table, so the list of them may be broadcast.
+HOT_SHARE = 1000
+HOT_ROWS = 100_000
+SALTS = 64
+
+
+def hot_keys(table: DataFrame, key: str, floor: int = HOT_ROWS) -> DataFrame:
+    """The hot keys of a table: fewer than HOT_SHARE rows by construction."""
+    counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    limit = F.greatest(F.lit(floor), total.scalar() / HOT_SHARE)
+    return counts.where(F.col("n") > limit).select(key)
+
+
+def lookup_join(
+    table: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    spread_by: Column,
+    how: str = "left",
+    where: Column | None = None,
+    floor: int = HOT_ROWS,
+) -> DataFrame:
+    """``table`` joined to ``lookup`` on ``key``, hot keys spread over SALTS tasks.
+
+    Rows of a hot key are dealt out by a hash of ``spread_by``; the matching
+    lookup rows are repeated once per salt.  Other keys join as they are.
+    """
+    hot = F.broadcast(hot_keys(table, key, floor).withColumn("__hot", F.lit(True)))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    left = table.join(hot, key, "left").withColumn("__salt", F.coalesce(salt, F.lit(0)))
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.join(hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    on = [left[key] == right[key], left["__salt"] == right["__salt"]]
+    if where is not None:
+        on.append(where)
+    joined = left.join(right, on, how)
+    return joined.drop(right[key]).drop(left["__salt"]).drop(right["__salt"]).drop("__hot")

@@ -1,0 +1,226 @@
+"""Workbooks: one task per file, since Spark has no reader for them.
+
+Spark lists and opens the files; the helper below turns the bytes of one file
+into rows of text, a batch at a time.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import io
+import re
+import sys
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rulewright.errors import SourceError
+from rulewright.functions.text import column
+
+# Size cap for one workbook, widest sheet the format allows.
+MAX_BYTES = 100 * 1024 * 1024
+MAX_COLUMNS = 16384
+BATCH_ROWS = 10_000
+# Built-in number formats that mean a date or a time.
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+# Executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _tag(element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _joined_text(element) -> str:
+    return "".join(t.text or "" for t in element.iter() if _tag(t) == "t")
+
+
+def _xml(book: zipfile.ZipFile, name: str):
+    return ElementTree.fromstring(book.read(name)) if name in book.namelist() else []
+
+
+def _sheet_paths(book: zipfile.ZipFile) -> dict[str, str]:
+    """Sheet name to the part that holds it, in workbook order."""
+    parts = {r.get("Id"): r.get("Target") for r in _xml(book, "xl/_rels/workbook.xml.rels")}
+    out = {}
+    for node in _xml(book, "xl/workbook.xml").iter():
+        if _tag(node) == "sheet":
+            ref = next(v for k, v in node.attrib.items() if k.endswith("}id"))
+            target = parts[ref]
+            out[node.get("name")] = target[1:] if target.startswith("/") else f"xl/{target}"
+    return out
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Cell styles whose number format is a date or time."""
+    styles = _xml(book, "xl/styles.xml")
+    custom = {}
+    for node in styles.iter() if len(styles) else ():
+        if _tag(node) == "numFmt":
+            bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", node.get("formatCode", ""))
+            custom[int(node.get("numFmtId"))] = bool(re.search("[ymdhs]", bare, re.I))
+    formats = next((n for n in styles if _tag(n) == "cellXfs"), [])
+    ids = [int(x.get("numFmtId", 0)) for x in formats]
+    return {i for i, f in enumerate(ids) if custom.get(f, f in DATE_FORMATS)}
+
+
+def _number_text(raw: str, is_date: bool) -> str:
+    number = float(raw)
+    if is_date:
+        if 0 <= number < 1:
+            day = dt.datetime(1900, 1, 1) + dt.timedelta(seconds=round(number * 86400))
+            return str(day.time())
+        # Serial 60 is the leap day that 1900 did not have.
+        start = dt.datetime(1899, 12, 30 if number >= 60 else 31)
+        return str(start + dt.timedelta(days=int(number), seconds=round(number % 1 * 86400)))
+    return str(int(number)) if number == int(number) else str(number)
+
+
+def _cell_text(cell, shared: list[str], dates: set[int]) -> str:
+    kind = cell.get("t", "n")
+    if kind == "inlineStr":
+        return _joined_text(cell)
+    raw = next((v.text for v in cell if _tag(v) == "v"), None)
+    if raw is None or kind == "e":
+        return ""
+    if kind == "s":
+        return shared[int(raw)]
+    if kind == "b":
+        return "True" if raw == "1" else "False"
+    if kind == "n":
+        return _number_text(raw, int(cell.get("s", 0)) in dates)
+    return raw
+
+
+def _column_number(ref: str) -> int:
+    number = 0
+    for letter in re.match("[A-Z]+", ref).group():
+        number = number * 26 + ord(letter) - 64
+    return number - 1
+
+
+def _rows(content: bytes, sheet: str | None) -> Iterator[list[str]]:
+    """Rows of one sheet as text; blanks are empty strings, trailing blank rows go."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        sheets = _sheet_paths(book)
+        if sheet and sheet not in sheets:
+            raise ValueError(f"no sheet {sheet!r}; found {list(sheets)}")
+        shared = [_joined_text(si) for si in _xml(book, "xl/sharedStrings.xml")]
+        dates = _date_styles(book)
+        blank_rows, expected = 0, 1
+        with book.open(sheets[sheet or next(iter(sheets))]) as part:
+            for _, node in ElementTree.iterparse(part):
+                if _tag(node) != "row":
+                    continue
+                number = int(node.get("r", expected))
+                blank_rows += number - expected
+                expected = number + 1
+                cells: dict[int, str] = {}
+                for c in node:
+                    place = _column_number(c.get("r")) if c.get("r") else len(cells)
+                    cells[place] = _cell_text(c, shared, dates)
+                node.clear()
+                if not any(cells.values()):
+                    blank_rows += 1
+                    continue
+                yield from ([] for _ in range(blank_rows))
+                blank_rows = 0
+                yield [cells.get(i, "") for i in range(max(cells) + 1)]
+
+
+def _headers(first: list[str]) -> list[str]:
+    """Trimmed names; blanks and repeats made distinct."""
+    names: list[str] = []
+    for i, raw in enumerate(first):
+        stem = name = raw if raw else f"Unnamed: {i}"
+        n = 0
+        while name in names:
+            n += 1
+            name = f"{stem}.{n}"
+        names.append(name)
+    return [n.strip() for n in names]
+
+
+def _files(spark: SparkSession, uri: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(uri)
+    too_big = F.raise_error(
+        F.format_string(f"%s is %d bytes, above the limit of {MAX_BYTES}", "path", "length")
+    )
+    content = F.when(F.col("length") > MAX_BYTES, too_big.cast("binary")).otherwise(F.col("content"))
+    return files.select("path", content.alias("content"))
+
+
+def sheet_names(spark: SparkSession, uri: str) -> DataFrame:
+    """One row per sheet: path, position, sheet."""
+
+    def scan(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    names = list(_sheet_paths(book))
+                yield pd.DataFrame({"path": path, "position": range(len(names)), "sheet": names})
+
+    return _files(spark, uri).mapInPandas(scan, "path string, position int, sheet string")
+
+
+def header_names(files: DataFrame, sheet: str | None = None) -> list[str]:
+    """Union of the column names of all files, in first-seen order by path."""
+
+    def scan(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                names = _headers(next(_rows(content, sheet), []))
+                yield pd.DataFrame({"path": path, "place": range(len(names)), "name": names})
+
+    found = files.mapInPandas(scan, "path string, place int, name string")
+    firsts = found.groupBy("name").agg(F.min(F.struct("path", "place")).alias("first"))
+    # Bounded: no more names are taken than one sheet can have columns.
+    rows = firsts.orderBy("first").limit(MAX_COLUMNS + 1).collect()
+    if len(rows) > MAX_COLUMNS:
+        raise SourceError(f"the workbooks have more than {MAX_COLUMNS} different columns")
+    return [r["name"] for r in rows]
+
+
+def parse_workbooks(files: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Rows of every workbook in ``files`` (path, content), all cells as text."""
+    names = header_names(files, sheet)
+    if not names:
+        raise SourceError("the workbook contains no data rows")
+
+    def scan(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                rows = _rows(content, sheet)
+                own = _headers(next(rows, []))
+                chunk: list[dict[str, str]] = []
+                for row in rows:
+                    chunk.append(dict(zip(own, row)))
+                    if len(chunk) == BATCH_ROWS:
+                        yield pd.DataFrame(chunk, columns=names).fillna("")
+                        chunk = []
+                if chunk:
+                    yield pd.DataFrame(chunk, columns=names).fillna("")
+
+    fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    return files.mapInPandas(scan, fields)
+
+
+def read_workbooks(
+    spark: SparkSession, uri: str, sheet: str | None = None, spread: bool = True
+) -> DataFrame:
+    """A workbook, or a folder of them, as one table of text.
+
+    A sheet cannot be split, so rows are spread over the cluster afterwards;
+    pass ``spread=False`` for folders with more files than cores.
+    """
+    table = parse_workbooks(_files(spark, uri), sheet)
+    if table.isEmpty():
+        raise SourceError(f"{uri} contains no data rows")
+    table = table.select(*[column(n) for n in table.columns])
+    return table.repartition(max(spark.sparkContext.defaultParallelism, 2)) if spread else table
