@@ -63,7 +63,7 @@ class RuleSource:
 
 
 def _now() -> datetime:
-    return datetime.now(timezone.utc).replace(tzinfo=None)
+    return datetime.now(timezone.utc)
 
 
 def ask(spark: SparkSession, request: RunRequest, frame: DataFrame, rules: RuleSource) -> DataFrame:
