@@ -6,19 +6,19 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.functions.text import column
+from rulewright.functions.text import column, text_or_blank
 from rulewright.operators.transform import (
     COUNTER,
     RuleOutcome,
-    affected_flag,
     apply_rule,
+    may_hold,
     resolve_targets,
     visible,
 )
-from rulewright.rule import TextRule
+from rulewright.rule import VALIDATE, TextRule
 
 
 def profile(df: DataFrame, rules: Sequence[TextRule], columns: Sequence[str] | None = None) -> DataFrame:
@@ -30,28 +30,47 @@ def profile(df: DataFrame, rules: Sequence[TextRule], columns: Sequence[str] | N
     shuffled.
     """
     chosen = resolve_targets(df, columns or visible(df.columns))
-    sums = [F.count(F.lit(1)).alias("n")]
+    width = len(chosen)
+    # Cells as text, and the hints that several rules share, are worked out once.
+    cells = {f"t{i}": text_or_blank(column(name)) for i, name in enumerate(chosen)}
+    hinted: dict[tuple[str, ...], int] = {}
+    hints: dict[str, Column] = {}
+    flags: dict[str, Column] = {}
     for r, rule in enumerate(rules):
-        flags = [affected_flag(column(name), rule) for name in chosen]
-        sums += [F.sum(flag).alias(f"c{r}_{i}") for i, flag in enumerate(flags)]
-        if len(chosen) > 1:
-            sums.append(F.sum(F.greatest(*flags)).alias(f"r{r}"))
-    counted = df.agg(*sums)
+        hint = f"h{hinted.setdefault(rule.requires, len(hinted))}_"
+        for i in range(width):
+            possible = None if f"{hint}{i}" in hints else may_hold(cells[f"t{i}"], rule)
+            if possible is not None:
+                hints[f"{hint}{i}"] = possible
+            hit = F.col(f"t{i}").rlike(rule.effective_pattern)
+            if rule.requires and not rule.case_insensitive:
+                hit = column(f"{hint}{i}") & hit
+            flags[f"f{r}_{i}"] = (~hit if rule.operation == VALIDATE else hit).cast("int")
+    prepared = df.select(
+        *[text.alias(name) for name, text in cells.items()],
+        *[possible.alias(name) for name, possible in hints.items()],
+    )
+    flagged = prepared.select(*[flag.alias(name) for name, flag in flags.items()])
 
-    def line(r: int, i: int):
-        cells = F.coalesce(F.col(f"c{r}_{i}"), F.lit(0))
-        rows = F.coalesce(F.col(f"r{r}" if len(chosen) > 1 else f"c{r}_{i}"), F.lit(0))
-        return F.struct(
-            F.lit(rules[r].rule_id).alias("rule_id"),
-            F.lit(chosen[i]).alias("column_name"),
-            cells.alias("affected_cells"),
-            rows.alias("affected_rows"),
-            F.col("n").alias("total_rows"),
-            F.when(F.col("n") > 0, F.round(cells / F.col("n"), 4)).otherwise(F.lit(0.0)).alias("rate"),
-        )
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(name).alias(f"c{name[1:]}") for name in flags]]
+    if width > 1:
+        for r in range(len(rules)):
+            anywhere = F.greatest(*[f"f{r}_{i}" for i in range(width)])
+            sums.append(F.sum(anywhere).alias(f"r{r}"))
+    counted = flagged.agg(*sums)
 
-    lines = [line(r, i) for r in range(len(rules)) for i in range(len(chosen))]
-    return counted.select(F.inline(F.array(*lines)))
+    in_cells = F.array(*[f"c{name[1:]}" for name in flags])
+    in_rows = F.array(*[f"r{r}" if width > 1 else f"c{r}_0" for r in range(len(rules)) for _ in chosen])
+    lines = counted.select("n", in_rows.alias("rows"), F.posexplode(in_cells).alias("at", "cells"))
+    affected = F.coalesce(F.col("cells"), F.lit(0))
+    return lines.select(
+        F.lit([rule.rule_id for rule in rules])[(F.col("at") / width).cast("int")].alias("rule_id"),
+        F.lit(chosen)[F.col("at") % width].alias("column_name"),
+        affected.alias("affected_cells"),
+        F.coalesce(F.col("rows")[F.col("at")], F.lit(0)).alias("affected_rows"),
+        F.col("n").alias("total_rows"),
+        F.when(F.col("n") > 0, F.round(affected / F.col("n"), 4)).otherwise(F.lit(0.0)).alias("rate"),
+    )
 
 
 def column_counts(df: DataFrame, rule: TextRule, targets: Sequence[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 The whole run is a single ``select`` of built-in expressions: no shuffle, no
 Python worker, streaming or batch alike.  A cell that the rule does not find is
 passed through without running the replacement, so the common case costs one
-regex scan, and none where the rule's ``requires`` literal is absent.
+regex scan, and none where the rule's ``requires`` literals are absent.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.errors import RuleError
 from rulewright.functions.text import as_text, column, quote_replacement, text_or_blank
-from rulewright.rule import EXTRACT, MASK, OPERATIONS, REPLACE, TextRule
+from rulewright.rule import EXTRACT, MASK, OPERATIONS, REPLACE, VALIDATE, TextRule
 
 # The per-row counter and the prefix of columns never shown.
 COUNTER = "__matched"
@@ -76,34 +76,36 @@ def free_name(stem: str, taken: Sequence[str]) -> str:
     return name
 
 
+def may_hold(text: Column, rule: TextRule) -> Column | None:
+    """True where a match is possible by the rule's ``requires``; None without a hint."""
+    if not rule.requires or rule.case_insensitive:
+        return None
+    return reduce(or_, [text.contains(literal) for literal in rule.requires])
+
+
 def found_in(cell: Column, rule: TextRule) -> Column:
     """True where the rule is found; NULL is searched as the empty string."""
     text = text_or_blank(cell)
-    hit = text.rlike(rule.effective_pattern)
-    if rule.requires and not rule.case_insensitive:
-        return text.contains(rule.requires) & hit
-    return hit
+    possible, hit = may_hold(text, rule), text.rlike(rule.effective_pattern)
+    return hit if possible is None else possible & hit
 
 
-def affected_flag(cell: Column, rule: TextRule) -> Column:
+def affected_flag(hit: Column, rule: TextRule) -> Column:
     """1 for an affected cell, else 0.  VALIDATE counts the cells that fail."""
-    hit = found_in(cell, rule)
-    if rule.operation in (REPLACE, MASK, EXTRACT):
-        return F.when(hit, 1).otherwise(0)
-    return F.when(hit, 0).otherwise(1)
+    return (~hit if rule.operation == VALIDATE else hit).cast("int")
 
 
-def rewritten(cell: Column, rule: TextRule, replacement: str) -> Column:
+def rewritten(cell: Column, hit: Column, rule: TextRule, replacement: str) -> Column:
     """Cell with every match replaced; NULL stays NULL."""
     text = as_text(cell)
     swapped = F.regexp_replace(text, F.lit(rule.effective_pattern), F.lit(replacement))
-    return F.when(found_in(cell, rule), swapped).otherwise(text)
+    return F.when(hit, swapped).otherwise(text)
 
 
-def extracted(cell: Column, rule: TextRule) -> Column:
+def extracted(cell: Column, hit: Column, rule: TextRule) -> Column:
     """First match's group; empty when there is no match or the group took no part."""
     got = F.regexp_extract(text_or_blank(cell), rule.effective_pattern, rule.group)
-    return F.when(found_in(cell, rule), got).otherwise(F.lit(""))
+    return F.when(hit, got).otherwise(F.lit(""))
 
 
 def apply_rule(
@@ -127,6 +129,7 @@ def apply_rule(
         raise RuleError(f"the table already has a column named {counter}")
 
     kept = {name: column(name) for name in df.columns}
+    hits = {n: found_in(kept[n], rule) for n in chosen}
     added: dict[str, Column] = {}
     shown = f"/{rule.effective_pattern}/"
 
@@ -136,19 +139,19 @@ def apply_rule(
         else:
             new_text, literal = value, not raw_template
         template = quote_replacement(new_text) if literal else new_text
-        kept.update({n: rewritten(column(n), rule, template).alias(n) for n in chosen})
+        kept.update({n: rewritten(kept[n], hits[n], rule, template).alias(n) for n in chosen})
         text = f"{rule.operation}: {new_text!r} where {shown} matches in {len(chosen)} column(s)"
     elif rule.operation == EXTRACT:
         for n in chosen:
             name = free_name(f"{n}_extracted", [*df.columns, *added])
-            added[name] = extracted(column(n), rule).alias(name)
+            added[name] = extracted(kept[n], hits[n], rule).alias(name)
         text = f"EXTRACT: group {rule.group} of {shown} into {list(added)}"
     else:
         for n in chosen:
             name = free_name(f"{n}_valid", [*df.columns, *added])
-            added[name] = found_in(column(n), rule).alias(name)
+            added[name] = hits[n].alias(name)
         text = f"VALIDATE: cells without {shown} marked in {list(added)}"
 
-    total = reduce(add, [affected_flag(column(n), rule) for n in chosen])
+    total = reduce(add, [affected_flag(hit, rule) for hit in hits.values()])
     out = df.select(*kept.values(), *added.values(), total.alias(counter))
     return RuleOutcome(out, visible(out.columns), list(added), text)

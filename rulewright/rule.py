@@ -40,9 +40,10 @@ RULE_SCHEMA = T.StructType(
 class TextRule:
     """One rule, ready to be turned into column expressions.
 
-    ``requires`` is an optional speed hint: a literal that every match of the
-    pattern contains ("@" for e-mail).  Cells without it skip the regex engine.
-    It never changes a result as long as the claim holds.
+    ``requires`` is an optional speed hint: literals of which every match contains
+    at least one ("@" for e-mail, the ten digits for a number).  Cells with none of
+    them skip the regex engine, which is a search over raw bytes.  It never changes
+    a result as long as the claim holds.
     """
 
     pattern: str
@@ -57,7 +58,7 @@ class TextRule:
     provider: str = ""
     model: str = ""
     rule_id: str = ""
-    requires: str = ""
+    requires: tuple[str, ...] = ()
 
     @property
     def effective_pattern(self) -> str:
@@ -71,7 +72,7 @@ class TextRule:
         """Build a rule from one row of a rules table; unknown fields are ignored."""
         given = row.asDict() if hasattr(row, "asDict") else dict(row)
         kept = {k: v for k, v in given.items() if k in cls.__dataclass_fields__ and v is not None}
-        for listed in ("should_match", "should_not_match"):
+        for listed in ("should_match", "should_not_match", "requires"):
             if listed in kept:
                 kept[listed] = tuple(kept[listed])
         return cls(**kept)
