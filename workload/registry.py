@@ -31,12 +31,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{name}.parquet", base=sf_dir)
 
 
+def derive(df: DataFrame, columns: str) -> DataFrame:
+    """The columns of a SELECT list, written once for both engines."""
+    escaped = columns.replace("{", "{{").replace("}", "}}")
+    return df.sparkSession.sql(f"SELECT {escaped} FROM {{t}}", t=df)
+
+
 def text(value: str) -> str:
     """A Python string as a SQL literal."""
     return "'" + value.replace("'", "''") + "'"
 
 
-def choose(words: list[str], index: str) -> str:
-    """SQL for the word at a 0-based index, the same in both engines."""
-    lines = " ".join(f"WHEN {i} THEN {text(w)}" for i, w in enumerate(words))
+def spark_text(value: str) -> str:
+    """A Python string as a Spark SQL literal, in which backslashes escape."""
+    return text(value.replace("\\", "\\\\"))
+
+
+def choose(words: list[str], index: str, quote: Callable[[str], str] = text) -> str:
+    """SQL for the word at a 0-based index, counted round."""
+    lines = " ".join(f"WHEN {i} THEN {quote(w)}" for i, w in enumerate(words))
     return f"CASE {index} % {len(words)} {lines} END"
+
+
+def both(columns: str) -> tuple[str, str]:
+    """A SELECT list for Spark and for DuckDB, whose names for some things differ."""
+    spark = {"text": "STRING", "micros": "unix_micros", "stamp": "timestamp_micros", "list": "array"}
+    duckdb = {"text": "VARCHAR", "micros": "epoch_us", "stamp": "make_timestamp", "list": "list_value"}
+    return columns.format(**spark), columns.format(**duckdb)
