@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 HOT_ROWS = 100_000
 SALTS = 64
+# A lookup of no more rows than this is sent to every executor.
+SMALL_ROWS = 10_000
+
+
+def is_small(table: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """True when a table has at most ``rows`` rows; stops counting one past that."""
+    return table.limit(rows + 1).count() <= rows
 
 
 def hot_keys(table: DataFrame, key: str, floor: int = HOT_ROWS) -> DataFrame:

@@ -96,8 +96,10 @@ def settle_rule(
         if memory is None or rules.answers is None:
             raise RuleError("give a rule, or both memory and answers")
         asked = ask(spark, request, frame, rules)
-        live = live_entries(memory, F.current_timestamp())
-        outcome = resolve(asked, live, judge_answers(rules.answers)).first()
+        # One request: its key, as a value, reaches the scans of both tables.
+        own = F.col("key") == asked.first()["key"]
+        live = live_entries(memory.where(own), F.current_timestamp())
+        outcome = resolve(asked, live, judge_answers(rules.answers.where(own))).first()
         if outcome["rule"] is None:
             raise RuleError(outcome["reason"] or "no answer has come in for this description")
         row, cached = outcome["rule"], outcome["was_cached"]

@@ -19,18 +19,14 @@ def detect_delimiter(spark: SparkSession, uri: str, lines: int = HEAD_LINES) ->
     """
     if uri.lower().endswith(".tsv"):
         return "\t"
-    head = spark.read.text(uri).limit(lines).where(F.length(F.trim("value")) > 0)
     bare = F.regexp_replace("value", '"[^"]*"', "")
     counts = [
         F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS
     ]
-    bounds = [f(c) for c in counts for f in (F.min, F.max)]
-    seen = list(head.agg(*bounds).first())
-    steady = {
-        d: seen[2 * i]
-        for i, d in enumerate(DELIMITERS)
-        if seen[2 * i] and seen[2 * i] == seen[2 * i + 1]
-    }
+    # head() opens as few partitions as it needs, however large the file is.
+    head = spark.read.text(uri).where(F.length(F.trim("value")) > 0).select(*counts).head(lines)
+    seen = dict(zip(DELIMITERS, zip(*head)))
+    steady = {d: n[0] for d, n in seen.items() if n[0] > 0 and len(set(n)) == 1}
     return max(steady, key=steady.get) if steady else FALLBACK
 
 

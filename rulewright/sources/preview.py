@@ -33,7 +33,7 @@ def head_of(df: DataFrame, rows: int | None = PREVIEW_ROWS) -> DataFrame:
     """First rows as text: blanks for NULL, bookkeeping columns hidden."""
     size = min(rows or PREVIEW_ROWS, PREVIEW_CEILING)
     cells = [text_or_blank(column(n)).alias(n) for n in visible(df.columns)]
-    return df.limit(size).select(*cells)
+    return df.select(*cells).limit(size)
 
 
 def preview(
@@ -68,5 +68,6 @@ def sample_values(df: DataFrame, columns: Sequence[str], limit: int = SAMPLE_ROW
     if not columns:
         return df.limit(0).select(F.lit("").alias("sample"))
     text = as_text(column(columns[0]))
-    some = df.select(text.alias("sample")).where(F.length("sample") > 0).limit(limit)
-    return some.select(clip(F.col("sample"), SAMPLE_CLIP).alias("sample"))
+    # The limit comes last, so that a collect opens as few partitions as it needs.
+    shown = df.where(F.length(text) > 0).select(clip(text, SAMPLE_CLIP).alias("sample"))
+    return shown.limit(limit)
