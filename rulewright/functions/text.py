@@ -57,12 +57,12 @@ def extension_of(key: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes with one decimal and a unit."""
+    """Bytes with one decimal and a unit; halves go to the even digit."""
     out = None
     last = len(SIZE_UNITS) - 1
     for power, unit in enumerate(SIZE_UNITS):
         scaled = size.cast("double") / F.lit(float(1024**power))
-        shown = F.format_string(f"%.1f {unit}", scaled)
+        shown = F.format_string(f"%.1f {unit}", F.bround(scaled, 1))
         if power == last:
             return out.otherwise(shown)
         test = F.abs(scaled) < 1024.0
@@ -71,8 +71,8 @@ def human_size(size: Column) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    """Seconds with two decimals; NULL when either end is missing."""
-    return F.round((F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6), 2)
+    """Seconds with two decimals, halves to even; NULL when either end is missing."""
+    return F.bround((F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6), 2)
 
 
 def distinct_texts(*arrays: Column) -> Column:

@@ -118,7 +118,7 @@ def run_metrics(ledger: DataFrame) -> DataFrame:
         zero(F.sum(rows)).alias("rows_processed_total"),
         zero(F.sum(cells)).alias("cells_matched_total"),
         zero(F.max(rows)).alias("largest_job_rows"),
-        F.round(F.coalesce(confidence, F.lit(0.0)), 3).alias("avg_llm_confidence"),
+        F.bround(F.coalesce(confidence, F.lit(0.0)), 3).alias("avg_llm_confidence"),
         F.count_if("llm_cached").alias("cache_hit_jobs"),
     )
 

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.functions.text import column
-from rulewright.operators.results import ROWS_PER_FILE
-from rulewright.operators.skew import lookup_join
+from rulewright.operators.skew import HOT_ROWS, lookup_join
 from rulewright.operators.transform import visible
 
 # Page sizes, and writing tasks per group of the running sum.
@@ -105,28 +104,31 @@ def page_envelope(pages: DataFrame) -> DataFrame:
 
 
 def page_slices(
-    pages: DataFrame, index: DataFrame, bucket_rows: int = ROWS_PER_FILE, hot_floor: int | None = None
+    pages: DataFrame, index: DataFrame, bucket_rows: int | None = None, hot_floor: int = HOT_ROWS
 ) -> DataFrame:
     """The part of each file that each page needs: local_offset and take.
 
     ``pages`` has page and page_size.  Row positions are cut into buckets, both
     sides are matched bucket by bucket, and a pair is kept in the bucket where
-    its overlap begins, so it appears once.  A bucket asked for by most pages is
-    spread over tasks.
+    its overlap begins, so it appears once.  Buckets are as long as the average
+    file (at least the largest page), so there are at most three per file and few
+    files in each.  A bucket asked for by most pages is spread over tasks.
     """
+    index = index.where("rows > 0")
+    if bucket_rows is None:
+        average = F.greatest(F.lit(PAGE_SIZE_CEILING), F.ceil(F.avg("rows")))
+        width = F.coalesce(index.agg(average.alias("width")).scalar(), F.lit(PAGE_SIZE_CEILING))
+    else:
+        width = F.lit(bucket_rows)
     first = page_offset(F.col("page"), F.col("page_size"))
-    asked = pages.withColumns({"first_row": first, "end_row": first + F.col("page_size")})
-    bucket = lambda at: F.floor(at / bucket_rows)
-    asked = asked.where("page_size > 0").withColumn(
-        "bucket", F.explode(F.sequence(bucket(F.col("first_row")), bucket(F.col("end_row") - 1)))
+    asked = pages.withColumns(
+        {"first_row": first, "end_row": first + F.col("page_size"), "width": width}
     )
     end = F.col("start") + F.col("rows")
-    files = index.where("rows > 0").withColumn(
-        "bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(end - 1)))
-    )
-    begin = F.greatest("start", "first_row")
-    until = F.least(end, F.col("end_row"))
-    floor = {} if hot_floor is None else {"floor": hot_floor}
+    files = index.withColumn("width", width)
+    asked = asked.where("page_size > 0").withColumn("bucket", _buckets(F.col("first_row"), F.col("end_row")))
+    files = files.withColumn("bucket", _buckets(F.col("start"), end)).drop("width")
+    begin, until = F.greatest("start", "first_row"), F.least(end, F.col("end_row"))
     pairs = lookup_join(
         asked,
         files,
@@ -134,9 +136,9 @@ def page_slices(
         F.struct(*[column(n) for n in pages.columns]),
         how="inner",
         where=(begin < until),
-        **floor,
+        floor=hot_floor,
     )
-    return pairs.where(bucket(begin) == F.col("bucket")).select(
+    return pairs.where(F.floor(begin / F.col("width")) == F.col("bucket")).select(
         *[column(n) for n in pages.columns],
         "path",
         (begin - F.col("start")).alias("local_offset"),
@@ -144,6 +146,12 @@ def page_slices(
     )
 
 
+def _buckets(low: Column, high: Column) -> Column:
+    """One row per bucket that the rows from ``low`` to before ``high`` fall in."""
+    bucket = lambda at: F.floor(at / F.col("width"))
+    return F.explode(F.sequence(bucket(low), bucket(high - 1)))
+
+
 def render_cells(df: DataFrame) -> DataFrame:
     """Booleans and numbers as they are, everything else as text."""
     plain = (T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType)

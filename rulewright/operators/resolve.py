@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.functions.answers import answer_reason, bare_json, rule_fields
+from rulewright.functions.answers import answer_reason, bare_json, parts, rule_fields
 from rulewright.functions.text import squeeze
 from rulewright.operators.lint import lint_rules
 from rulewright.operators.skew import lookup_join
@@ -75,11 +75,13 @@ def keys_to_ask(requests: DataFrame, live: DataFrame) -> DataFrame:
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Answers (answer) with the fields of a rule, or ``reason`` why there are none."""
-    parsed = answers.withColumn("__payload", F.try_parse_json(bare_json(F.col("answer"))))
-    payload = F.col("__payload")
-    marked = parsed.withColumn("reason", answer_reason(F.col("answer"), payload))
-    whole = F.when(F.col("reason").isNull(), payload)
-    return marked.withColumns(rule_fields(whole)).drop("__payload")
+    body, payload = F.col("__body"), F.col("__payload")
+    opened = answers.withColumn("__body", bare_json(F.col("answer")))
+    opened = opened.withColumn("__payload", F.try_parse_json(body))
+    marked = opened.withColumn("reason", answer_reason(body, payload))
+    whole = parts(F.when(F.col("reason").isNull(), payload))
+    out = marked.withColumns(whole).withColumns(rule_fields())
+    return out.drop("__body", "__payload", *whole)
 
 
 def judge_answers(answers: DataFrame, strict: bool = False) -> DataFrame:
@@ -166,7 +168,7 @@ def remember(memory: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
 def reuse_stats(resolved: DataFrame) -> DataFrame:
     """One row: cache_hits, cache_misses, provider_calls, hit_rate_percent."""
     hits, all_rows = F.count_if("was_cached"), F.count(F.lit(1))
-    rate = F.when(all_rows > 0, F.round(100.0 * hits / all_rows, 1)).otherwise(F.lit(0.0))
+    rate = F.when(all_rows > 0, F.bround(100.0 * hits / all_rows, 1)).otherwise(F.lit(0.0))
     return resolved.agg(
         hits.alias("cache_hits"),
         F.count_if(~F.col("was_cached")).alias("cache_misses"),

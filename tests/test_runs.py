@@ -76,14 +76,16 @@ def test_views(spark):
         {"id": "a", "created_at": at(10), "started_at": at(10, 0, 1, 500000), "finished_at": at(10, 1), "regex_pattern": "p", "extract_group": 2},
         {"id": "b", "created_at": at(11), "started_at": at(11)},
         {"id": "c", "created_at": at(9)},
+        {"id": "d", "created_at": at(8), "started_at": at(8, 0, 0, 125000), "finished_at": at(8, 0, 0, 500000)},
     )
     rows = {r["id"]: r for r in full_view(runs, now()).collect()}
     assert rows["a"]["duration_seconds"] == 58.5 and rows["a"]["queue_wait_seconds"] == 1.5
     assert rows["b"]["duration_seconds"] == 3600.0 and rows["c"]["duration_seconds"] is None
+    assert (rows["d"]["queue_wait_seconds"], rows["d"]["duration_seconds"]) == (0.12, 0.38)
     assert rows["a"]["regex"]["pattern"] == "p" and rows["a"]["regex"]["group"] == 2
     assert len(full_view(runs, now()).columns) == 23 and len(summary_view(runs, now()).columns) == 10
-    assert [r["id"] for r in list_page(runs).collect()] == ["b", "a", "c"]
-    assert [r["id"] for r in list_page(runs, page=2, size=2).collect()] == ["c"]
+    assert [r["id"] for r in list_page(runs).collect()] == ["b", "a", "c", "d"]
+    assert [r["id"] for r in list_page(runs, page=2, size=2).collect()] == ["c", "d"]
     assert list_page(runs, page=0, size=0).count() == 1
 
 

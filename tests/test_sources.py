@@ -119,7 +119,7 @@ def test_catalogue(spark):
 
 
 @pytest.mark.parametrize("size, shown", [
-    (0, "0.0 B"), (1023, "1023.0 B"), (1024, "1.0 KB"), (5 * 1024**3, "5.0 GB"), (2**50, "1.0 PB"), (2**60, "1024.0 PB"),
+    (0, "0.0 B"), (30976, "30.2 KB"), (1329, "1.3 KB"), (1023, "1023.0 B"), (1024, "1.0 KB"), (5 * 1024**3, "5.0 GB"), (2**50, "1.0 PB"), (2**60, "1024.0 PB"),
 ])
 def test_human_size(spark, size, shown):
     assert spark.range(1).select(human_size(F.lit(size))).first()[0] == shown

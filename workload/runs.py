@@ -59,8 +59,8 @@ def now():
 
 
 _DURATION = f"""CASE WHEN started_at IS NOT NULL THEN
-    round((epoch_us(coalesce(finished_at, TIMESTAMP '{NOW}')) - epoch_us(started_at)) / 1e6, 2) END"""
-_WAIT = "round((epoch_us(started_at) - epoch_us(created_at)) / 1e6, 2)"
+    round_even((epoch_us(coalesce(finished_at, TIMESTAMP '{NOW}')) - epoch_us(started_at)) / 1e6, 2) END"""
+_WAIT = "round_even((epoch_us(started_at) - epoch_us(created_at)) / 1e6, 2)"
 
 
 @query(
@@ -144,7 +144,7 @@ def runs_by_status(spark, sf_dir):
     CAST(coalesce(sum(total_rows) FILTER (status = 'SUCCESS'), 0) AS BIGINT) AS rows_processed_total,
     CAST(coalesce(sum(matched_cells) FILTER (status = 'SUCCESS'), 0) AS BIGINT) AS cells_matched_total,
     coalesce(max(total_rows) FILTER (status = 'SUCCESS'), 0) AS largest_job_rows,
-    round(coalesce(avg(llm_confidence) FILTER (status = 'SUCCESS'), 0), 3) AS avg_llm_confidence,
+    round_even(coalesce(avg(llm_confidence) FILTER (status = 'SUCCESS'), 0), 3) AS avg_llm_confidence,
     count(*) FILTER (llm_cached) AS cache_hit_jobs FROM runs""",
 )
 def metrics(spark, sf_dir):

@@ -603,7 +603,7 @@ def resolved_requests(spark, sf_dir):
     "reuse_stats",
     f"""WITH {ASKED}, {MEMORY}, {VERDICTS}, {RESOLVED} SELECT count(*) FILTER (was_cached) AS cache_hits,
     count(*) FILTER (NOT was_cached) AS cache_misses, CAST(sum(attempts) AS BIGINT) AS provider_calls,
-    round(100.0 * count(*) FILTER (was_cached) / count(*), 1) AS hit_rate_percent FROM resolved""",
+    round_even(100.0 * count(*) FILTER (was_cached) / count(*), 1) AS hit_rate_percent FROM resolved""",
 )
 def stats(spark, sf_dir):
     return reuse_stats(_resolved(spark, sf_dir))
