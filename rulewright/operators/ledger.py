@@ -168,6 +168,6 @@ def newest_first(ledger: DataFrame) -> DataFrame:
 
 
 def list_page(ledger: DataFrame, page: int = 1, size: int = LIST_SIZE) -> DataFrame:
-    """One page of runs, newest first."""
-    taken = max(1, min(size, LIST_CEILING))
+    """One page of runs, newest first; a size below 1 is the usual size."""
+    taken = min(size, LIST_CEILING) if size >= 1 else LIST_SIZE
     return newest_first(ledger).offset((max(page, 1) - 1) * taken).limit(taken)

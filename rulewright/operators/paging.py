@@ -173,9 +173,9 @@ def read_page(
     """The rows of one page, in file order, bookkeeping columns hidden.
 
     Only files that hold rows of the page are opened, and the position filter
-    reaches the Parquet scan.
+    reaches the Parquet scan.  For sizes from outside, see clamp_page_size.
     """
-    size = max(1, min(page_size, PAGE_SIZE_CEILING))
+    size = max(page_size, 0)
     first = max(page - 1, 0) * size
     end = first + size
     # Every listed file holds a row of the page, so there are at most `size` of them.

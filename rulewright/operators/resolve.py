@@ -134,6 +134,12 @@ def judge_answers(answers: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+def repairs_to_ask(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """What to ask again (key, operation, description), with the reason as ``hint``."""
+    again = verdicts.where("status = 'REPAIR'").select("key", F.col("reason").alias("hint"))
+    return asked.select("key", "operation", "description").join(again, "key")
+
+
 def resolve(
     requests: DataFrame, live: DataFrame, verdicts: DataFrame, request_id: str = "request_id"
 ) -> DataFrame:

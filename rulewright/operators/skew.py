@@ -43,8 +43,10 @@ def lookup_join(
     lookup rows are repeated once per salt.  Other keys join as they are.
     """
     hot = F.broadcast(hot_keys(table, key, floor).withColumn("__hot", F.lit(True)))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    left = table.join(hot, key, "left").withColumn("__salt", F.coalesce(salt, F.lit(0)))
+    # Rows without a key match nothing, so they may go anywhere.
+    dealt_out = F.col("__hot") | F.col(key).isNull()
+    salt = F.when(dealt_out, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    left = table.join(hot, key, "left").withColumn("__salt", salt)
     salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
     on = [left[key] == right[key], left["__salt"] == right["__salt"]]

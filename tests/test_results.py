@@ -51,6 +51,8 @@ def test_page_limits(spark, written):
     index = page_index(spark, written)
     assert read_page(spark, index, 99, 50).count() == 0
     assert read_page(spark, index, 99, 50).columns == ["ID", "Email"]
+    assert read_page(spark, index, 1, 1000).count() == 120
+    assert read_page(spark, index, 1, 0).count() == 0
     assert [r["ID"] for r in read_page(spark, index, 0, 2).collect()] == ["0000", "0001"]
     assert read_page(spark, index, 1, 5, columns=["Email"]).columns == ["Email"]
 
@@ -171,6 +173,22 @@ def test_lookup_join_spreads_hot_keys(spark):
     assert SALTS > 1
 
 
+def test_rows_without_a_key_are_kept_and_spread(spark):
+    rows = spark.range(40).selectExpr("id", "CAST(null AS string) AS k")
+    lookup = spark.createDataFrame([("a", 1)], "k string, v int")
+    got = lookup_join(rows, lookup, "k", F.col("id"), floor=0)
+    assert got.count() == 40 and got.where("v IS NOT NULL").count() == 0
+
+
+def test_plans_stay_narrow(spark, written, people):
+    index = page_index(spark, written)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in index
+    seen = profile(people, [known_rule("email"), known_rule("digits")])._jdf.queryExecution().executedPlan().toString()
+    assert seen.count("Exchange") == 1 and "Exchange SinglePartition" in seen
+    count = totals(spark.read.parquet(written))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<__matched:int>" in count
+
+
 def test_hot_keys_are_few(spark):
     rows = spark.range(5000).selectExpr("id % 900 AS k")
     assert hot_keys(rows, "k", floor=0).count() < 1000

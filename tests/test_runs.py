@@ -86,7 +86,7 @@ def test_views(spark):
     assert len(full_view(runs, now()).columns) == 23 and len(summary_view(runs, now()).columns) == 10
     assert [r["id"] for r in list_page(runs).collect()] == ["b", "a", "c", "d"]
     assert [r["id"] for r in list_page(runs, page=2, size=2).collect()] == ["c", "d"]
-    assert list_page(runs, page=0, size=0).count() == 1
+    assert list_page(runs, page=0, size=0).count() == 4
 
 
 def test_current_state(spark):

@@ -86,29 +86,6 @@ def parquet_scan(spark, sf_dir):
     return read_table(spark, f"{sf_dir}/lineitem.parquet")
 
 
-def _workbook(pdf: pd.DataFrame) -> bytes:
-    """One batch of rows as a workbook with one sheet."""
-
-    def cell(value) -> str:
-        if isinstance(value, str):
-            return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
-        return f"<c><v>{value}</v></c>"
-
-    rows = [list(pdf.columns), *pdf.itertuples(index=False, name=None)]
-    lines = "".join(f"<row>{''.join(cell(v) for v in r)}</row>" for r in rows)
-    relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    parts = {
-        "xl/workbook.xml": f'<workbook xmlns:r="{relation}"><sheets><sheet name="All" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
-        "xl/worksheets/s.xml": f"<worksheet><sheetData>{lines}</sheetData></worksheet>",
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        for name, body in parts.items():
-            book.writestr(name, body)
-    return out.getvalue()
-
-
 @query(
     "workbook_scan",
     """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation,
@@ -116,11 +93,32 @@ def _workbook(pdf: pd.DataFrame) -> bytes:
 )
 def workbook_scan(spark, sf_dir):
     """Customers packed into workbooks, one per batch of rows, and read back as text."""
-    made = _workbook
+
+    def workbook(pdf: pd.DataFrame) -> bytes:
+        """One batch of rows as a workbook with one sheet."""
+
+        def cell(value) -> str:
+            if isinstance(value, str):
+                return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
+            return f"<c><v>{value}</v></c>"
+
+        rows = [list(pdf.columns), *pdf.itertuples(index=False, name=None)]
+        lines = "".join(f"<row>{''.join(cell(v) for v in r)}</row>" for r in rows)
+        relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        parts = {
+            "xl/workbook.xml": f'<workbook xmlns:r="{relation}"><sheets><sheet name="All" r:id="r1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
+            "xl/worksheets/s.xml": f"<worksheet><sheetData>{lines}</sheetData></worksheet>",
+        }
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            for name, body in parts.items():
+                book.writestr(name, body)
+        return out.getvalue()
 
     def pack(batches):
         for batch in batches:
-            yield pd.DataFrame({"path": [str(batch["key"].iloc[0])], "content": [made(batch)]})
+            yield pd.DataFrame({"path": [str(batch["key"].iloc[0])], "content": [workbook(batch)]})
 
     people = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS key", "c_name AS name", "c_nationkey AS nation", "c_mktsegment AS segment"

@@ -16,6 +16,7 @@ from rulewright.operators.resolve import (
     live_entries,
     parse_answers,
     remember,
+    repairs_to_ask,
     resolve,
     reuse_stats,
 )
@@ -26,7 +27,7 @@ from rulewright.operators.rulebook import (
     name_by_substring,
     suggest_rules,
 )
-from workload.registry import both, choose, derive, query, spark_text, table, text
+from workload.registry import choose, derive, query, spark_text, table, text
 
 # ---------------------------------------------------------------- rules, one per part
 SHAPES = [
@@ -576,6 +577,19 @@ def judged(spark, sf_dir):
     return verdicts.select("key", "status", F.col("rule.pattern").alias("pattern"), "reason", "attempts")
 
 
+@query(
+    "repairs_to_ask",
+    f"""WITH {ASKED}, {MEMORY}, {VERDICTS} SELECT DISTINCT keyed.key, operation, reason AS hint
+    FROM keyed JOIN verdicts v ON v.key = keyed.key AND status = 'REPAIR'
+    WHERE force_refresh OR keyed.key NOT IN (SELECT key FROM live)""",
+)
+def repairs(spark, sf_dir):
+    """Requests whose answer was refused once, with what was wrong."""
+    asked = keys_to_ask(requests_of_orders(spark, sf_dir), _live(spark, sf_dir))
+    again = repairs_to_ask(asked, judge_answers(answers_of_customers(spark, sf_dir)))
+    return again.select("key", "operation", "hint")
+
+
 RESOLVED = f"""
 joined AS (SELECT k.*, live.pattern AS kept, v.status AS verdict, fresh, reason, attempts,
   NOT force_refresh AND live.pattern IS NOT NULL AS was_cached
