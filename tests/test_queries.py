@@ -30,7 +30,7 @@ def test_query(spark, duck, name):
     if name not in oracle_sql():
         assert got[2]
         return
-    want = rows_of(duck.execute(oracle_sql()[name]).to_arrow_table())
+    want = rows_of(duck.sql(oracle_sql()[name]).to_arrow_table())
     assert got[0] == want[0]
     assert got[2] == want[2]
 
