@@ -59,7 +59,7 @@ def stale_runs(ledger: DataFrame, now: Column, hours: int = STALE_HOURS) -> Data
 def fail_stale(ledger: DataFrame, now: Column, hours: int = STALE_HOURS) -> DataFrame:
     """The ledger with stale runs marked FAILED."""
     stale = is_stale(now, hours)
-    message = clip(F.lit(f"no progress for over {hours}h; the worker probably died"), MESSAGE_CLIP)
+    message = clip(F.lit(f"still running after {hours}h; taken for dead"), MESSAGE_CLIP)
     changed = {
         "status": F.lit("FAILED"),
         "phase": F.lit("failed"),

@@ -58,7 +58,7 @@ def gate_requests(requests: DataFrame) -> DataFrame:
         f"natural_language: longer than {WORDS_MAX}": F.length(words) > WORDS_MAX,
         f"replacement_value: longer than {VALUE_LENGTH}": F.length(value) > VALUE_LENGTH,
         "replacement_value: required for REPLACE": (F.col("operation") == REPLACE) & (value == ""),
-        "target_columns: select at least one column": F.size("target_columns") == 0,
+        "target_columns: none is named": F.size("target_columns") == 0,
         f"target_columns: more than {TARGETS_MAX}": F.size(names) > TARGETS_MAX,
         "target_columns: a name is blank": F.exists(names, lambda t: t == ""),
         f"target_columns: a name is longer than {TARGET_LENGTH}": F.exists(

@@ -48,7 +48,7 @@ def hide_internal(df: DataFrame) -> DataFrame:
 def resolve_targets(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     """Match wanted names to the schema: trimmed, case-blind, first-seen order."""
     if not wanted:
-        raise RuleError("select at least one target column")
+        raise RuleError("name at least one target column")
     by_folded: dict[str, list[str]] = {}
     for name in df.columns:
         by_folded.setdefault(name.lower(), []).append(name)
@@ -57,8 +57,7 @@ def resolve_targets(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     missing = [w for w, names in found.items() if not names]
     if missing:
         raise RuleError(
-            f"column(s) {missing} are not in the file. "
-            f"Available: {df.columns[:NAMES_IN_MESSAGE]}"
+            f"no column(s) {missing} in the table, which has {df.columns[:NAMES_IN_MESSAGE]}"
         )
     unclear = sorted({n for names in found.values() if len(names) > 1 for n in names})
     if unclear:

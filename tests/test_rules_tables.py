@@ -43,7 +43,7 @@ EMAIL = known_rule("email").pattern
     ("a.+.+b", "unsafe pattern: two .+ in a row"),
     ("(a|a)*b", "unsafe pattern: quantified alternation"),
     ("a{5000}", "unsafe pattern: repetition in the thousands"),
-    ("a" * 2001, "pattern is 2001 chars, limit is 2000"),
+    ("a" * 2001, "pattern has 2001 characters, at most 2000 are allowed"),
     ("[[:alpha:]]+", "POSIX"),
     ("foo(?#note)bar", "inline comments"),
     ("(?P>x)", "recursive"),
@@ -57,7 +57,7 @@ def test_verdicts(spark, pattern, reason):
 
 
 def test_length_limit_is_a_parameter(spark):
-    assert verdict(spark, TextRule("a" * 21), max_pattern=20)["reason"] == "pattern is 21 chars, limit is 20"
+    assert verdict(spark, TextRule("a" * 21), max_pattern=20)["reason"] == "pattern has 21 characters, at most 20 are allowed"
 
 
 def test_python_spellings_are_rewritten(spark):
@@ -82,8 +82,8 @@ def test_self_test(spark):
 
 
 @pytest.mark.parametrize("template, pattern, words", [
-    ("$1***$3", "(a)(b)", "group(s) [3] but the pattern defines 2"),
-    ("", "(a)", "requires a replacement template"),
+    ("$1***$3", "(a)(b)", "group(s) [3], the pattern has 2"),
+    ("", "(a)", "needs a template"),
     ("${m}", "(?<n>a)", "unknown group(s) [m]"),
     ("$1***$2", "(a)(b)", None),
     ("${n}", "(?<n>a)", None),
@@ -97,7 +97,7 @@ def test_templates(spark, template, pattern, words):
 
 def test_template_without_reference_is_a_warning(spark):
     row = verdict(spark, TextRule("(a)", MASK, replacement_template="***"))
-    assert row["accepted"] and "no $n reference" in row["warnings"][0]
+    assert row["accepted"] and "keeps no group" in row["warnings"][0]
 
 
 @pytest.mark.parametrize("group, fine", [(0, True), (2, True), (5, False), (-1, False)])
@@ -206,7 +206,7 @@ GATE = "source_key string, sheet_name string, operation string, natural_language
     ({"natural_language": "x" * 2001}, "longer than 2000"),
     ({"replacement_value": ""}, "required for REPLACE"),
     ({"replacement_value": "", "operation": "MASK"}, None),
-    ({"target_columns": []}, "at least one"),
+    ({"target_columns": []}, "none is named"),
     ({"target_columns": ["a"] * 51}, "more than 50"),
     ({"target_columns": ["a", " "]}, "blank"),
     ({"target_columns": ["a" * 256]}, "longer than 255"),

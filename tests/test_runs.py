@@ -122,7 +122,7 @@ def test_run_with_a_given_rule(spark, people_csv, places):
 
 
 @pytest.mark.parametrize("change, word", [
-    ({"target_columns": ["Emial"]}, "not in the file"),
+    ({"target_columns": ["Emial"]}, "in the table, which has"),
     ({"source_key": "/x/y.txt"}, "unsupported file type"),
     ({"replacement_value": ""}, "required for REPLACE"),
 ])

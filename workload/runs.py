@@ -115,7 +115,7 @@ def runs_stale(spark, sf_dir):
     "runs_after_sweep",
     f"""WITH {RUNS} SELECT id, CASE WHEN {STALE} THEN 'FAILED' ELSE status END AS status,
     CASE WHEN {STALE} THEN 'failed' ELSE phase END AS phase,
-    CASE WHEN {STALE} THEN 'no progress for over 6h; the worker probably died' ELSE error_message END AS error_message,
+    CASE WHEN {STALE} THEN 'still running after 6h; taken for dead' ELSE error_message END AS error_message,
     CASE WHEN {STALE} THEN 'StaleJob' ELSE error_type END AS error_type,
     epoch_us(CASE WHEN {STALE} THEN TIMESTAMP '{NOW}' ELSE finished_at END) AS finished_us FROM runs""",
 )

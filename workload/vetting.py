@@ -85,10 +85,10 @@ counted AS (SELECT *, {_COUNT} AS groups,
   list_filter(regexp_extract_all(replacement_template, '(?:^|[^\\])\$(\d)', 1), lambda x: true) AS refs FROM bared),
 judged AS (SELECT *, CASE
   WHEN trim(java) = '' THEN 'empty pattern'
-  WHEN length(pattern) > 2000 THEN concat('pattern is ', length(pattern), ' chars, limit is 2000')
-  WHEN contains(java, '(?#') THEN 'inline comments are not supported by Java regex'
-  WHEN regexp_matches(java, '\[\[:[a-z]+:\]\]') THEN 'POSIX classes are not supported; use \p{{Alpha}} and its kin'
-  WHEN contains(java, '(?P>') THEN 'recursive groups are not supported by Java regex'
+  WHEN length(pattern) > 2000 THEN concat('pattern has ', length(pattern), ' characters, at most 2000 are allowed')
+  WHEN contains(java, '(?#') THEN 'Java has no inline comments'
+  WHEN regexp_matches(java, '\[\[:[a-z]+:\]\]') THEN 'Java has no POSIX classes; use \p{{Alpha}} and its kin'
+  WHEN contains(java, '(?P>') THEN 'Java has no recursive groups'
   WHEN contains(bare, '[') OR len(regexp_extract_all(bare, '\(')) <> len(regexp_extract_all(bare, '\)'))
     THEN 'invalid regular expression'
   WHEN regexp_matches(java, '\((?:[^()?:][^()]*)?[+*]\)\s*[+*]') THEN 'unsafe pattern: nested quantifier'
@@ -97,12 +97,12 @@ judged AS (SELECT *, CASE
   WHEN contains(java, '.+.+') THEN 'unsafe pattern: two .+ in a row'
   WHEN regexp_matches(java, '\((?:[^()?:|][^()|]*)?\|[^()]*\)\s*[+*]') THEN 'unsafe pattern: quantified alternation'
   WHEN regexp_matches(java, '\{{\d{{4,}},?\d*\}}') THEN 'unsafe pattern: repetition in the thousands'
-  WHEN operation = 'MASK' AND replacement_template = '' THEN 'MASK requires a replacement template such as ''$1***'''
+  WHEN operation = 'MASK' AND replacement_template = '' THEN 'MASK needs a template, for example ''$1***'''
   WHEN operation = 'MASK' AND len(list_filter(refs, lambda x: CAST(x AS INTEGER) > groups)) > 0
-    THEN concat('template references group(s) [', array_to_string(list_sort(list_distinct(
-      list_filter(refs, lambda x: CAST(x AS INTEGER) > groups))), ', '), '] but the pattern defines ', groups)
+    THEN concat('template uses group(s) [', array_to_string(list_sort(list_distinct(
+      list_filter(refs, lambda x: CAST(x AS INTEGER) > groups))), ', '), '], the pattern has ', groups)
   WHEN operation = 'EXTRACT' AND (group_no > groups OR group_no < 0)
-    THEN concat('EXTRACT asks for group ', group_no, ' but the pattern defines ', groups)
+    THEN concat('EXTRACT wants group ', group_no, ', the pattern has ', groups)
   END AS reason FROM counted),
 runnable AS (SELECT *, replace(CASE WHEN reason IS NOT NULL OR contains(java, '\k<') THEN '$^'
   WHEN case_insensitive THEN concat('(?i)', java) ELSE java END, '(?<', '(?P<') AS safe FROM judged),
@@ -126,9 +126,9 @@ def _named(items: str) -> str:
       CASE WHEN contains(pattern, '(?P<') THEN 'named groups (?P<n>) rewritten to Java''s (?<n>)' END,
       CASE WHEN contains(pattern, '(?P=') THEN 'references (?P=n) rewritten to Java''s \k<n>' END,
       CASE WHEN operation = 'MASK' AND reason IS NULL AND len(refs) = 0
-        THEN 'MASK template has no $n reference, so matches are fully replaced' END,
-      CASE WHEN len(missed) > 0 THEN concat('pattern does not match its own examples: ', {_named('missed')}) END,
-      CASE WHEN len(false_hits) > 0 THEN concat('pattern matches strings it should not: ', {_named('false_hits')}) END
+        THEN 'the MASK template keeps no group, so whole matches go' END,
+      CASE WHEN len(missed) > 0 THEN concat('examples not found: ', {_named('missed')}) END,
+      CASE WHEN len(false_hits) > 0 THEN concat('counter-examples found: ', {_named('false_hits')}) END
     ], lambda x: x IS NOT NULL), '; ') AS warnings FROM vetted""",
 )
 def linted(spark, sf_dir):
@@ -324,7 +324,7 @@ def _requests(kind: str) -> str:
       CASE WHEN length(natural_language) < 3 THEN 'natural_language: fewer than 3 characters' END,
       CASE WHEN length(natural_language) > 2000 THEN 'natural_language: longer than 2000' END,
       CASE WHEN operation = 'REPLACE' AND replacement_value = '' THEN 'replacement_value: required for REPLACE' END,
-      CASE WHEN len(list_filter(names, lambda x: x <> '')) = 0 THEN 'target_columns: select at least one column' END,
+      CASE WHEN len(list_filter(names, lambda x: x <> '')) = 0 THEN 'target_columns: none is named' END,
       CASE WHEN len(list_filter(names, lambda x: x = '')) > 0 THEN 'target_columns: a name is blank' END
     ], lambda x: x IS NOT NULL) AS problems FROM clean)
     SELECT o_orderkey, source_key, CASE o_orderkey % 4 WHEN 0 THEN 'Email,Notes'
