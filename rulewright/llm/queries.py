@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import decontaminate, line_dedup, packing, quality, shards, url_filter
+from rulewright.llm import decontaminate, grid_join, jaccard_join, line_dedup, packing, quality, shards, url_filter
 from rulewright.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -85,3 +85,14 @@ SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared, count(*) / n_item
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item_shingles
 HAVING count(*) >= 0.8 * n_item_shingles""",
 }
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op5_jaccard_join": op5_jaccard_join, "op9_embedding_dedup": op9_embedding_dedup}
