@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import decontaminate, grid_join, jaccard_join, line_dedup, packing, quality, shards, url_filter
+from rulewright.llm import decontaminate, grid_join, jaccard_join, line_dedup, packing, quality, shards, suffix_dedup, url_filter
 from rulewright.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,3 +96,11 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_jaccard_join": op5_jaccard_join, "op9_embedding_dedup": op9_embedding_dedup}
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES |= {"op6_suffix_dedup": op6_suffix_dedup}
