@@ -26,3 +26,11 @@ def with_fields(df: DataFrame, **added: str) -> StructType:
     for name, kind in added.items():
         shape.add(name, kind)
     return shape
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish

@@ -20,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import stored, with_fields
+from rulewright.llm.common import free_name, stored, with_fields
 from rulewright.llm.textbytes import BYTE_CODES, STEP, U64, mix, slices
 
-GRAMS = (4, 5)
-BUCKETS = 1 << 18
+GRAMS = (4, 5, 6)
+BUCKETS = 1 << 20
 #: At most so many labelled documents are used, those with the smallest hash of their id.
 LABELLED = 40_000
 #: N-grams that a document's importance stands for.
 LENGTH = 256
 BINS = 4096
-PARTS = 8
+#: Added to every count.
+ADDED = 0.2
+PARTS = 6
 
 
 def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +47,7 @@ def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = h * STEP + BYTE_CODES[data[k : size + k]]
         inside = rows[:size] == rows[n - 1 :]
-        found.append((mix(h[inside]) >> U64(46)).astype(np.int64))
+        found.append((mix(h[inside]) >> U64(44)).astype(np.int64))
         where.append(rows[:size][inside])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -85,7 +87,7 @@ def fit_ratio(labelled: DataFrame) -> np.ndarray:
         total += np.frombuffer(row.sums, np.int64).reshape(2, BUCKETS)
     if not total[0].sum() or total[0].sum() == total[1].sum():
         return np.zeros(BUCKETS)
-    total += 1.0
+    total += ADDED
     return np.log(total[0] / total[0].sum()) - np.log(total[1] / total[1].sum())
 
 
@@ -144,7 +146,7 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return ordered[k - above - 1]
 
 
-def judge(docs: DataFrame, labels: DataFrame, seed: int = 8, named: str = "importance") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, seed: int = 8, clear: bool = False) -> DataFrame:
     """``docs`` with ``importance`` (log), ``key`` (importance plus Gumbel noise) and ``kept``.
 
     As many documents are sampled as have an importance above the cut that best splits
@@ -152,9 +154,12 @@ def judge(docs: DataFrame, labels: DataFrame, seed: int = 8, named: str = "impor
     they are those with the largest keys, and rows with equal keys share a fate.  Noise
     depends on doc_id and ``seed``; rows without doc_id share one noise.  NULL and empty
     texts have importance 0.  Without labels of both verdicts all rows are kept.  Columns
-    of ``docs`` with these three names are replaced.  An empty table gives no rows.
+    of ``docs`` with these three names are replaced.  ``clear`` returns the kept rows with
+    the columns they came with.  An empty table gives no rows.
     """
-    docs = docs.drop(named, "key", "kept")
+    added = [free_name(docs, "__" + c) for c in ("importance", "key")] if clear else ["importance", "key"]
+    named, key = added
+    docs = docs if clear else docs.drop(*added, "kept")
     picked = stored(labelled_ids(labels), "labelled")
     # At most LABELLED rows, so the broadcast is bounded.
     labelled = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled-text")
@@ -163,7 +168,8 @@ def judge(docs: DataFrame, labels: DataFrame, seed: int = 8, named: str = "impor
     cut = cut_point(np.array([r.importance for r in held]), np.array([r.good for r in held], bool))
     # The sign bit off, half a step up: a fraction strictly between 0 and 1.
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
-    scored = with_importance(docs, ratio, named).withColumn("key", F.col(named) - F.log(-F.log(uniform)))
-    keys = stored(scored.select("key", F.col(named).alias("importance")), "importance")
+    scored = with_importance(docs, ratio, named).withColumn(key, F.col(named) - F.log(-F.log(uniform)))
+    keys = stored(scored.select(F.col(key).alias("key"), F.col(named).alias("importance")), "importance")
     k = keys.where(F.col("importance") >= F.lit(cut)).count()
-    return scored.withColumn("kept", F.col("key") >= F.lit(kth_largest(keys, k)))
+    kept = F.col(key) >= F.lit(kth_largest(keys, k))
+    return scored.where(kept).drop(*added) if clear else scored.withColumn("kept", kept)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import decontaminate, grid_join, jaccard_join, line_dedup, packing, quality, shards, suffix_dedup, url_filter
+from rulewright.llm import decontaminate, grid_join, hmm, jaccard_join, line_dedup, packing, quality, shards, suffix_dedup, url_filter
 from rulewright.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -104,3 +104,19 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_suffix_dedup": op6_suffix_dedup}
+
+
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op3_hmm": op3_hmm}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES |= {"pipeline": pipeline}
