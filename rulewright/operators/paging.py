@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.functions.text import column
-from rulewright.operators.skew import HOT_ROWS, lookup_join
 from rulewright.operators.transform import visible
 
 # Page sizes, and writing tasks per group of the running sum.
 PAGE_SIZE = 50
 PAGE_SIZE_CEILING = 500
 TASKS_PER_LOT = 1000
+#: Rows of a bucket in which pages and files meet; see operators.results for the rows of a file.
+BUCKET_ROWS = 100_000
 
 INDEX_SCHEMA = "path string, rows bigint, start bigint"
 _NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -86,7 +87,7 @@ def page_offset(page: Column, size: Column) -> Column:
 
 
 def page_count(rows: Column, size: Column) -> Column:
-    whole = F.floor((rows + size - 1) / F.when(size > 0, size))
+    whole = F.call_function("div", rows + size - 1, F.when(size > 0, size))
     return F.when((rows > 0) & (size > 0), whole).otherwise(F.lit(0)).cast("bigint")
 
 
@@ -103,42 +104,22 @@ def page_envelope(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_slices(
-    pages: DataFrame, index: DataFrame, bucket_rows: int | None = None, hot_floor: int = HOT_ROWS
-) -> DataFrame:
+def page_slices(pages: DataFrame, index: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The part of each file that each page needs: local_offset and take.
 
-    ``pages`` has page and page_size.  Row positions are cut into buckets, both
-    sides are matched bucket by bucket, and a pair is kept in the bucket where
-    its overlap begins, so it appears once.  Buckets are as long as the average
-    file (at least the largest page), so there are at most three per file and few
-    files in each.  A bucket asked for by most pages is spread over tasks.
+    ``pages`` has page and page_size.  Row positions are cut into buckets of
+    ``bucket_rows`` rows, both sides are matched bucket by bucket, and a pair is kept in
+    the bucket where its overlap begins, so it appears once.  Each table is read once;
+    adaptive execution splits a bucket that most pages ask for.
     """
-    index = index.where("rows > 0")
-    if bucket_rows is None:
-        average = F.greatest(F.lit(PAGE_SIZE_CEILING), F.ceil(F.avg("rows")))
-        width = F.coalesce(index.agg(average.alias("width")).scalar(), F.lit(PAGE_SIZE_CEILING))
-    else:
-        width = F.lit(bucket_rows)
     first = page_offset(F.col("page"), F.col("page_size"))
-    asked = pages.withColumns(
-        {"first_row": first, "end_row": first + F.col("page_size"), "width": width}
-    )
-    end = F.col("start") + F.col("rows")
-    files = index.withColumn("width", width)
-    asked = asked.where("page_size > 0").withColumn("bucket", _buckets(F.col("first_row"), F.col("end_row")))
-    files = files.withColumn("bucket", _buckets(F.col("start"), end)).drop("width")
-    begin, until = F.greatest("start", "first_row"), F.least(end, F.col("end_row"))
-    pairs = lookup_join(
-        asked,
-        files,
-        "bucket",
-        F.struct(*[column(n) for n in pages.columns]),
-        how="inner",
-        where=(begin < until),
-        floor=hot_floor,
-    )
-    return pairs.where(F.floor(begin / F.col("width")) == F.col("bucket")).select(
+    asked = pages.withColumns({"first_row": first, "end_row": first + F.col("page_size")}).where("page_size > 0")
+    asked = asked.withColumn("bucket", _buckets("first_row", "end_row", bucket_rows))
+    files = index.where("rows > 0").withColumn("file_end", F.col("start") + F.col("rows"))
+    files = files.withColumn("bucket", _buckets("start", "file_end", bucket_rows))
+    begin, until = F.greatest("start", "first_row"), F.least("file_end", "end_row")
+    pairs = asked.join(files, "bucket").where(begin < until)
+    return pairs.where(F.expr(f"greatest(start, first_row) div {bucket_rows}") == F.col("bucket")).select(
         *[column(n) for n in pages.columns],
         "path",
         (begin - F.col("start")).alias("local_offset"),
@@ -146,10 +127,9 @@ def page_slices(
     )
 
 
-def _buckets(low: Column, high: Column) -> Column:
+def _buckets(low: str, high: str, rows: int) -> Column:
     """One row per bucket that the rows from ``low`` to before ``high`` fall in."""
-    bucket = lambda at: F.floor(at / F.col("width"))
-    return F.explode(F.sequence(bucket(low), bucket(high - 1)))
+    return F.explode(F.expr(f"sequence({low} div {rows}, ({high} - 1) div {rows})"))
 
 
 def render_cells(df: DataFrame) -> DataFrame:

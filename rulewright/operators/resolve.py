@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rulewright.functions.answers import answer_reason, bare_json, parts, rule_fields
 from rulewright.functions.text import squeeze
 from rulewright.operators.lint import lint_rules
-from rulewright.operators.skew import lookup_join
 
 # Key format, days an entry is remembered, answers tried per request.
 KEY_VERSION = "v3"
@@ -46,16 +45,18 @@ def keyed(requests: DataFrame, provider: str, model: str) -> DataFrame:
 def live_entries(memory: DataFrame, now: Column, days: int = KEEP_DAYS) -> DataFrame:
     """The newest entry of each key (key, rule, stored_at) that has not expired."""
     age = F.unix_micros(now) - F.unix_micros("stored_at")
-    fresh = memory.where(age <= days * 86_400_000_000)
-    return fresh.groupBy("key").agg(
-        F.max_by("rule", "stored_at").alias("rule"), F.max("stored_at").alias("stored_at")
-    )
+    return _newest(memory.where(age <= days * 86_400_000_000))
+
 
+def _newest(memory: DataFrame) -> DataFrame:
+    """One entry per key: the newest, and of entries stored at one time the largest rule."""
+    last = F.max(F.struct("stored_at", "rule")).alias("last")
+    return memory.groupBy("key").agg(last).select("key", "last.rule", "last.stored_at")
 
-def hits_of(requests: DataFrame, live: DataFrame, request_id: str = "request_id") -> DataFrame:
+
+def hits_of(requests: DataFrame, live: DataFrame) -> DataFrame:
     """Keyed requests answered from memory, with the remembered ``rule``."""
-    wanted = requests.where(~F.col("force_refresh"))
-    return lookup_join(wanted, live.select("key", "rule"), "key", F.col(request_id), how="inner")
+    return requests.where(~F.col("force_refresh")).join(live.select("key", "rule"), "key")
 
 
 def keys_to_ask(requests: DataFrame, live: DataFrame) -> DataFrame:
@@ -68,9 +69,9 @@ def keys_to_ask(requests: DataFrame, live: DataFrame) -> DataFrame:
         F.min(F.struct("operation", "description")).alias("ask"),
         F.bool_or("force_refresh").alias("force_refresh"),
     )
-    forced = folded.where("force_refresh")
-    unknown = folded.where(~F.col("force_refresh")).join(live.select("key"), "key", "left_anti")
-    return forced.unionByName(unknown).select("key", "ask.operation", "ask.description")
+    known = live.select("key", F.lit(True).alias("known"))
+    open_keys = folded.join(known, "key", "left").where(F.col("force_refresh") | F.col("known").isNull())
+    return open_keys.select("key", "ask.operation", "ask.description")
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
@@ -90,10 +91,14 @@ def judge_answers(answers: DataFrame, strict: bool = False) -> DataFrame:
     status is ACCEPTED with the rule of the first good attempt, UNREADABLE when an
     answer could not be read (no repair is tried), REJECTED when vetting refused
     the last attempt allowed, or REPAIR when another answer may be given; reason
-    says what was wrong.
+    says what was wrong.  An answer without an attempt number cannot be placed: it
+    counts as an unreadable first one.  Of several answers with one number the
+    smallest rule and reason count, in any order of the rows.
     """
-    parsed = parse_answers(answers.where(F.col("attempt") <= ATTEMPTS))
-    parsed = parsed.withColumnRenamed("reason", "__unreadable")
+    placed = F.coalesce("attempt", F.lit(1))
+    parsed = parse_answers(answers.withColumn("__lost", F.col("attempt").isNull()).withColumn("attempt", placed).where(placed <= ATTEMPTS))
+    unreadable = F.when(F.col("__lost"), "the answer has no attempt number").otherwise(F.col("reason"))
+    parsed = parsed.withColumn("__unreadable", unreadable).drop("reason", "__lost")
     vetted = lint_rules(parsed, strict=strict)
     good = F.col("__unreadable").isNull() & F.col("accepted")
     rule = F.struct(*[F.col(f) for f in RULE_FIELDS])
@@ -104,15 +109,18 @@ def judge_answers(answers: DataFrame, strict: bool = False) -> DataFrame:
         F.coalesce("__unreadable", "reason").alias("reason"),
         F.col("__unreadable").isNotNull().alias("unreadable"),
     )
-    first_stop = F.min(F.when(F.col("rule").isNotNull() | F.col("unreadable"), F.col("attempt")))
+    stop = F.col("rule").isNotNull() | F.col("unreadable")
+    told = F.struct((-F.col("attempt")).alias("late"), "reason")
     folded = lined.groupBy("key").agg(
-        F.min_by("rule", F.when(F.col("rule").isNotNull(), F.col("attempt"))).alias("rule"),
-        F.min(F.when(F.col("rule").isNotNull(), F.col("attempt"))).alias("good_at"),
-        F.min(F.when(F.col("unreadable"), F.col("attempt"))).alias("broken_at"),
-        F.min_by("reason", F.when(F.col("unreadable"), F.col("attempt"))).alias("broken_reason"),
-        F.max_by("reason", "attempt").alias("last_reason"),
+        F.min(F.when(F.col("rule").isNotNull(), F.struct("attempt", "rule"))).alias("good"),
+        F.min(F.when(F.col("unreadable"), F.struct("attempt", "reason"))).alias("broken"),
+        F.min(told).alias("last"),
         F.max("attempt").alias("attempts"),
-        first_stop.alias("stopped_at"),
+        F.min(F.when(stop, F.col("attempt"))).alias("stopped_at"),
+    ).select(
+        "key", "attempts", "stopped_at", F.col("good.rule").alias("rule"), F.col("good.attempt").alias("good_at"),
+        F.col("broken.attempt").alias("broken_at"), F.col("broken.reason").alias("broken_reason"),
+        F.col("last.reason").alias("last_reason"),
     )
     accepted = F.col("good_at").isNotNull() & (F.col("good_at") == F.col("stopped_at"))
     broken = F.col("broken_at").isNotNull() & (F.col("broken_at") == F.col("stopped_at"))
@@ -140,9 +148,7 @@ def repairs_to_ask(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
     return asked.select("key", "operation", "description").join(again, "key")
 
 
-def resolve(
-    requests: DataFrame, live: DataFrame, verdicts: DataFrame, request_id: str = "request_id"
-) -> DataFrame:
+def resolve(requests: DataFrame, live: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Every keyed request with its outcome.
 
     Adds status (HIT, ACCEPTED, UNREADABLE, REJECTED, REPAIR, or ASK when no
@@ -151,7 +157,8 @@ def resolve(
     """
     remembered = live.select("key", F.col("rule").alias("kept"))
     known = remembered.join(verdicts, "key", "full_outer")
-    joined = lookup_join(requests, known, "key", F.col(request_id))
+    # Adaptive execution splits a key that most requests share.
+    joined = requests.join(known, "key", "left")
     hit = ~F.col("force_refresh") & F.col("kept").isNotNull()
     return joined.select(
         *[F.col(c) for c in requests.columns],
@@ -166,18 +173,21 @@ def resolve(
 def remember(memory: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
     """Memory with the accepted rules added; a newer entry replaces an older one."""
     new = verdicts.where("status = 'ACCEPTED'").select("key", "rule", now.alias("stored_at"))
-    return memory.select("key", "rule", "stored_at").unionByName(new).groupBy("key").agg(
-        F.max_by("rule", "stored_at").alias("rule"), F.max("stored_at").alias("stored_at")
-    )
+    return _newest(memory.select("key", "rule", "stored_at").unionByName(new))
 
 
 def reuse_stats(resolved: DataFrame) -> DataFrame:
-    """One row: cache_hits, cache_misses, provider_calls, hit_rate_percent."""
-    hits, all_rows = F.count_if("was_cached"), F.count(F.lit(1))
-    rate = F.when(all_rows > 0, F.bround(100.0 * hits / all_rows, 1)).otherwise(F.lit(0.0))
-    return resolved.agg(
+    """One row: cache_hits, cache_misses, provider_calls, hit_rate_percent.
+
+    A key is asked once however many requests share it, so its attempts are its calls.
+    """
+    per_key = resolved.groupBy("key").agg(
+        F.count_if("was_cached").alias("hits"), F.count(F.lit(1)).alias("n"), F.max("attempts").alias("calls")
+    )
+    hits, rows = F.coalesce(F.sum("hits"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    return per_key.agg(
         hits.alias("cache_hits"),
-        F.count_if(~F.col("was_cached")).alias("cache_misses"),
-        F.coalesce(F.sum("attempts"), F.lit(0)).alias("provider_calls"),
-        rate.alias("hit_rate_percent"),
+        (rows - hits).alias("cache_misses"),
+        F.coalesce(F.sum("calls").cast("bigint"), F.lit(0)).alias("provider_calls"),
+        F.when(rows > 0, F.bround(100.0 * hits / rows, 1)).otherwise(F.lit(0.0)).alias("hit_rate_percent"),
     )

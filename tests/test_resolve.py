@@ -10,6 +10,7 @@ from rulewright.operators.resolve import (
     RULE_FIELDS,
     judge_answers,
     keyed,
+    hits_of,
     keys_to_ask,
     live_entries,
     parse_answers,
@@ -140,6 +141,43 @@ def test_expiry_is_exact(spark):
 
 
 def test_no_requests_no_rate(spark):
-    empty = spark.createDataFrame([], "was_cached boolean, attempts int")
+    empty = spark.createDataFrame([], "key string, was_cached boolean, attempts int")
     assert tuple(reuse_stats(empty).first()) == (0, 0, 0, 0.0)
     assert len(RULE_FIELDS) == 10
+
+
+def test_ties_do_not_depend_on_row_order(spark, scene):
+    _, keys, _ = scene
+    stored = __import__("datetime").datetime(2024, 1, 5)
+    rows = [(keys["known"], rule(p), stored) for p in ("b", "c", "a")]
+    told = [(keys["old"], "REPLACE", 1, f'{{"pattern": "{p}"}}') for p in ("y", "x", "z")]
+    for turn in range(3):
+        memory = spark.createDataFrame(rows[turn:] + rows[:turn], MEMORY)
+        answers = spark.createDataFrame(told[turn:] + told[:turn], ANSWERS)
+        assert live_entries(memory, now()).first()["rule"]["pattern"] == "c"
+        assert judge_answers(answers).first()["rule"]["pattern"] == "x"
+        kept = remember(memory, judge_answers(answers), now())
+        assert {r["rule"]["pattern"] for r in kept.collect()} == {"c", "x"}
+
+
+def test_an_answer_without_a_number_is_unreadable(spark, scene):
+    _, keys, _ = scene
+    answers = spark.createDataFrame([(keys["old"], "REPLACE", None, '{"pattern": "x"}')], ANSWERS)
+    got = judge_answers(answers).first()
+    assert (got["status"], got["attempts"]) == ("UNREADABLE", 1) and "attempt number" in got["reason"]
+
+
+def test_a_key_that_many_requests_share_is_one_call(spark):
+    many = keyed(spark.range(1000).selectExpr("CAST(id AS STRING) AS request_id", "'REPLACE' AS operation", "'same' AS description", "false AS force_refresh"), "p", "m")
+    answers = spark.createDataFrame([(many.first()["key"], "REPLACE", 1, '{"pattern": "x"}')], ANSWERS)
+    got = reuse_stats(resolve(many, spark.createDataFrame([], MEMORY), judge_answers(answers))).first()
+    assert tuple(got) == (0, 1000, 1, 0.0)
+
+
+def test_each_table_is_read_once(spark, scene, tmp_path):
+    requests, _, memory = scene
+    requests.write.parquet(f"{tmp_path}/requests")
+    memory.write.parquet(f"{tmp_path}/memory")
+    asked, live = spark.read.parquet(f"{tmp_path}/requests"), live_entries(spark.read.parquet(f"{tmp_path}/memory"), now())
+    for frame in (keys_to_ask(asked, live), hits_of(asked, live)):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2

@@ -15,7 +15,6 @@ from rulewright.operators.paging import (
     visible_columns,
 )
 from rulewright.operators.results import affected_rows, invalid_rows, totals
-from rulewright.operators.skew import SALTS, hot_keys, lookup_join
 from rulewright.session import scratch_path
 
 
@@ -103,15 +102,14 @@ def test_file_numbers_order_as_numbers(spark):
 @given(
     sizes=st.lists(st.integers(0, 40), min_size=1, max_size=12),
     asked=st.lists(st.tuples(st.integers(-1, 12), st.integers(0, 60)), min_size=1, max_size=6),
-    bucket=st.sampled_from([None, 1, 7, 100]),
-    floor=st.sampled_from([100_000, 0]),
+    bucket=st.sampled_from([1, 7, 100]),
 )
-def test_page_slices_agree_with_brute_force(spark, sizes, asked, bucket, floor):
+def test_page_slices_agree_with_brute_force(spark, sizes, asked, bucket):
     files = spark.createDataFrame([(f"part-{i:05d}-c000", n) for i, n in enumerate(sizes)], "path string, rows bigint")
     pages = spark.createDataFrame(asked, "page int, page_size int")
     got = sorted(
         (r["page"], r["page_size"], r["path"], r["local_offset"], r["take"])
-        for r in page_slices(pages, running_start(files), bucket, floor).collect()
+        for r in page_slices(pages, running_start(files), bucket).collect()
     )
     want = []
     for page, size in asked:
@@ -158,28 +156,6 @@ def test_rules_in_sequence(people):
     assert outcome.visible_columns == people.columns
 
 
-def test_lookup_join_spreads_hot_keys(spark):
-    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END AS k")
-    lookup = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("zz", 4)], "k string, v int")
-    assert [r["k"] for r in hot_keys(rows, "k", floor=10).collect()] == ["hot"]
-    got = lookup_join(rows, lookup, "k", F.col("id"), floor=10)
-    assert got.columns == ["k", "id", "v"] or set(got.columns) == {"k", "id", "v"}
-    want = rows.join(lookup, "k", "left")
-    assert sorted(map(tuple, got.select("id", "k", "v").na.fill(0).collect())) == sorted(
-        map(tuple, want.select("id", "k", "v").na.fill(0).collect())
-    )
-    inner = lookup_join(rows, lookup, "k", F.col("id"), how="inner", floor=10)
-    assert inner.count() == 2001
-    assert SALTS > 1
-
-
-def test_rows_without_a_key_are_kept_and_spread(spark):
-    rows = spark.range(40).selectExpr("id", "CAST(null AS string) AS k")
-    lookup = spark.createDataFrame([("a", 1)], "k string, v int")
-    got = lookup_join(rows, lookup, "k", F.col("id"), floor=0)
-    assert got.count() == 40 and got.where("v IS NOT NULL").count() == 0
-
-
 def test_plans_stay_narrow(spark, written, people):
     index = page_index(spark, written)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<>" in index
@@ -187,8 +163,3 @@ def test_plans_stay_narrow(spark, written, people):
     assert seen.count("Exchange") == 1 and "Exchange SinglePartition" in seen
     count = totals(spark.read.parquet(written))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<__matched:int>" in count
-
-
-def test_hot_keys_are_few(spark):
-    rows = spark.range(5000).selectExpr("id % 900 AS k")
-    assert hot_keys(rows, "k", floor=0).count() < 1000

@@ -186,6 +186,15 @@ def test_first_entry_wins_and_words_are_stricter(spark):
     assert suggest_rules(named, F.col("name")).where("id = 0").first()["pattern"] == r"\d+"
 
 
+def test_keywords_of_any_length(spark):
+    keywords = spark.createDataFrame(
+        [("social security card number", "long", 0), ("card", "short", 1), ("card", "other", 1)], "phrase string, name string, priority int"
+    )
+    df = asked(spark, ("my social security card number", REPLACE), ("my social security card", REPLACE), ("nothing", REPLACE), ("", REPLACE), (None, REPLACE))
+    got = {r["id"]: r["name"] for r in match_words(df, keywords, "id").collect()}
+    assert got == {0: "long", 1: "other", 2: None, 3: None, 4: None}
+
+
 def test_a_known_rule_without_mask(spark):
     with pytest.raises(RuleError, match="no mask"):
         known_rule("uuid", MASK)

@@ -275,7 +275,7 @@ def _word_sql(cell: str) -> str:
     "keyword_by_words",
     rf"""WITH said AS (SELECT p_partkey, concat(' ', array_to_string(regexp_extract_all(lower(description),
       '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*'), ' '), ' ') AS words FROM (SELECT {_words('VARCHAR')} FROM part))
-    SELECT p_partkey, {_word_sql('words')} AS name FROM said WHERE {_word_sql('words')} IS NOT NULL""",
+    SELECT p_partkey, {_word_sql('words')} AS name FROM said""",
 )
 def keyword_by_words(spark, sf_dir):
     """The same by whole words, as a join with the keyword table."""
@@ -287,7 +287,7 @@ def keyword_by_words(spark, sf_dir):
     "keyword_by_words_pages",
     rf"""WITH said AS (SELECT page_id, concat(' ', array_to_string(regexp_extract_all(lower(html),
       '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*'), ' '), ' ') AS words FROM pages)
-    SELECT page_id, {_word_sql('words')} AS name FROM said WHERE {_word_sql('words')} IS NOT NULL""",
+    SELECT page_id, {_word_sql('words')} AS name FROM said""",
 )
 def keyword_by_words_pages(spark, sf_dir):
     """Whole pages against the keyword table."""
@@ -295,6 +295,27 @@ def keyword_by_words_pages(spark, sf_dir):
     return match_words(pages, keyword_table(spark), "page_id")
 
 
+@query(
+    "keyword_long_phrases",
+    r"""WITH said AS (SELECT doc_id, concat(' ', array_to_string(regexp_extract_all(lower(text),
+      '[\p{L}\p{N}][\p{L}\p{N}-]*'), ' '), ' ') AS words FROM documents),
+    items AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}-]*')[:6], ' ') AS phrase
+      FROM benchmark)
+    SELECT doc_id, arg_min(concat('item ', item_id), item_id) AS name FROM said LEFT JOIN items
+      ON contains(words, concat(' ', phrase, ' ')) GROUP BY doc_id""",
+)
+def keyword_long_phrases(spark, sf_dir):
+    """Whole documents against keywords of six words, the beginnings of the benchmark items."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}-]*)"))
+    phrases = table(spark, sf_dir, "benchmark").select(
+        F.array_join(F.slice(words, 1, 6), " ").alias("phrase"),
+        F.concat(F.lit("item "), "item_id").alias("name"),
+        F.col("item_id").alias("priority"),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"))
+    return match_words(docs, phrases, "doc_id")
+
+
 # ---------------------------------------------------------------- requests
 def _requests(kind: str) -> str:
     arrays = "list_value" if kind == "VARCHAR" else "array"
@@ -501,7 +522,7 @@ entries AS (SELECT p_partkey AS code, {choose(OPS, 'p_partkey')} AS operation,
   concat(p_partkey, '-v', n) AS pattern, (p_partkey * n) % 15 AS age FROM part, (VALUES (1), (7)) AS v(n)
   WHERE p_partkey % 3 = 0),
 live AS (SELECT code, {_key_sql('operation', "concat('find code ', code)")} AS key,
-  arg_min(pattern, age * 10 + CASE WHEN pattern LIKE '%-v7' THEN 0 ELSE 1 END) AS pattern, min(age) AS age
+  max(struct_pack(newer := -age, rule := pattern)).rule AS pattern, min(age) AS age
   FROM entries WHERE age <= 7 GROUP BY code, operation)"""
 ASKED = f"""
 asked AS (SELECT {_asked('VARCHAR')}, o_custkey AS code FROM orders),
@@ -594,7 +615,7 @@ RESOLVED = f"""
 joined AS (SELECT k.*, live.pattern AS kept, v.status AS verdict, fresh, reason, attempts,
   NOT force_refresh AND live.pattern IS NOT NULL AS was_cached
   FROM keyed k LEFT JOIN live USING (key) LEFT JOIN verdicts v ON v.key = k.key),
-resolved AS (SELECT request_id, CASE WHEN was_cached THEN 'HIT' ELSE coalesce(verdict, 'ASK') END AS status,
+resolved AS (SELECT request_id, key, CASE WHEN was_cached THEN 'HIT' ELSE coalesce(verdict, 'ASK') END AS status,
   CASE WHEN was_cached THEN kept ELSE fresh END AS pattern, CASE WHEN NOT was_cached THEN reason END AS reason,
   CASE WHEN was_cached THEN 0 ELSE coalesce(attempts, 0) END AS attempts, was_cached FROM joined)"""
 
@@ -604,7 +625,7 @@ def _resolved(spark, sf_dir):
     return resolve(requests_of_orders(spark, sf_dir), _live(spark, sf_dir), verdicts)
 
 
-@query("resolved_requests", f"WITH {ASKED}, {MEMORY}, {VERDICTS}, {RESOLVED} SELECT * FROM resolved")
+@query("resolved_requests", f"WITH {ASKED}, {MEMORY}, {VERDICTS}, {RESOLVED} SELECT * EXCLUDE (key) FROM resolved")
 def resolved_requests(spark, sf_dir):
     """Every request with its rule, or what it still lacks."""
     out = _resolved(spark, sf_dir)
@@ -616,7 +637,8 @@ def resolved_requests(spark, sf_dir):
 @query(
     "reuse_stats",
     f"""WITH {ASKED}, {MEMORY}, {VERDICTS}, {RESOLVED} SELECT count(*) FILTER (was_cached) AS cache_hits,
-    count(*) FILTER (NOT was_cached) AS cache_misses, CAST(sum(attempts) AS BIGINT) AS provider_calls,
+    count(*) FILTER (NOT was_cached) AS cache_misses,
+    (SELECT CAST(sum(calls) AS BIGINT) FROM (SELECT max(attempts) AS calls FROM resolved GROUP BY key)) AS provider_calls,
     round_even(100.0 * count(*) FILTER (was_cached) / count(*), 1) AS hit_rate_percent FROM resolved""",
 )
 def stats(spark, sf_dir):
@@ -626,7 +648,7 @@ def stats(spark, sf_dir):
 @query(
     "remembered_after",
     f"""WITH {MEMORY}, {VERDICTS}, latest AS (SELECT {_key_sql('operation', "concat('find code ', code)")} AS key,
-      arg_min(pattern, age * 10 + CASE WHEN pattern LIKE '%-v7' THEN 0 ELSE 1 END) AS pattern
+      max(struct_pack(newer := -age, rule := pattern)).rule AS pattern
       FROM entries GROUP BY code, operation)
     SELECT coalesce(v.key, latest.key) AS key, coalesce(v.fresh, latest.pattern) AS pattern
     FROM latest FULL JOIN (SELECT * FROM verdicts WHERE status = 'ACCEPTED') v ON v.key = latest.key""",
