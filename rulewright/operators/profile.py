@@ -86,12 +86,12 @@ def apply_rules(
     Step k leaves its counter in ``__matched_k``; ``__matched`` is their sum.
     The steps stay in one stage.
     """
-    frame, added, notes = df, [], []
+    frame, added, done = df, [], ()
     names = [f"{COUNTER}_{k}" for k in range(1, len(steps) + 1)]
     for name, (rule, targets, value) in zip(names, steps):
         outcome = apply_rule(frame, rule, targets, value, counter=name)
         frame = outcome.frame
         added += outcome.added_columns
-        notes.append(outcome.description)
+        done += outcome.steps
     frame = frame.withColumn(COUNTER, reduce(add, [column(n) for n in names], F.lit(0)))
-    return RuleOutcome(frame, visible(frame.columns), added, "; ".join(notes))
+    return RuleOutcome(frame, visible(frame.columns), added, done)

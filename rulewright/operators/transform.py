@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import add, or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ HIDDEN_PREFIX = "__"
 NAMES_IN_MESSAGE = 25
 
 
+class RuleStep(NamedTuple):
+    """What one rule did: its kind and pattern, where it looked and where it wrote."""
+
+    operation: str
+    pattern: str
+    targets: tuple[str, ...]
+    outputs: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class RuleOutcome:
     """A lazy result: the table and what a caller needs to know about it."""
@@ -33,7 +43,7 @@ class RuleOutcome:
     frame: DataFrame
     visible_columns: list[str] = field(default_factory=list)
     added_columns: list[str] = field(default_factory=list)
-    description: str = ""
+    steps: tuple[RuleStep, ...] = ()
 
 
 def visible(names: Sequence[str]) -> list[str]:
@@ -130,7 +140,6 @@ def apply_rule(
     kept = {name: column(name) for name in df.columns}
     hits = {n: found_in(kept[n], rule) for n in chosen}
     added: dict[str, Column] = {}
-    shown = f"/{rule.effective_pattern}/"
 
     if rule.operation in (REPLACE, MASK):
         if rule.operation == MASK:
@@ -139,18 +148,16 @@ def apply_rule(
             new_text, literal = value, not raw_template
         template = quote_replacement(new_text) if literal else new_text
         kept.update({n: rewritten(kept[n], hits[n], rule, template).alias(n) for n in chosen})
-        text = f"{rule.operation}: {new_text!r} where {shown} matches in {len(chosen)} column(s)"
     elif rule.operation == EXTRACT:
         for n in chosen:
             name = free_name(f"{n}_extracted", [*df.columns, *added])
             added[name] = extracted(kept[n], hits[n], rule).alias(name)
-        text = f"EXTRACT: group {rule.group} of {shown} into {list(added)}"
     else:
         for n in chosen:
             name = free_name(f"{n}_valid", [*df.columns, *added])
             added[name] = hits[n].alias(name)
-        text = f"VALIDATE: cells without {shown} marked in {list(added)}"
 
     total = reduce(add, [affected_flag(hit, rule) for hit in hits.values()])
     out = df.select(*kept.values(), *added.values(), total.alias(counter))
-    return RuleOutcome(out, visible(out.columns), list(added), text)
+    step = RuleStep(rule.operation, rule.effective_pattern, tuple(chosen), tuple(added) or tuple(chosen))
+    return RuleOutcome(out, visible(out.columns), list(added), (step,))

@@ -32,6 +32,7 @@ RULE_SCHEMA = T.StructType(
         T.StructField("model", T.StringType()),
         T.StructField("warnings", T.ArrayType(T.StringType())),
         T.StructField("self_test_passed", T.BooleanType()),
+        T.StructField("requires", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -43,7 +44,7 @@ class TextRule:
     ``requires`` is an optional speed hint: literals of which every match contains
     at least one ("@" for e-mail, the ten digits for a number).  Cells with none of
     them skip the regex engine, which is a search over raw bytes.  It never changes
-    a result as long as the claim holds.
+    a result as long as the claim holds; vetting holds it against the examples.
     """
 
     pattern: str
@@ -93,6 +94,7 @@ class TextRule:
             self.model,
             [],
             None,
+            list(self.requires),
         )
 
 

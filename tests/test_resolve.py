@@ -80,7 +80,7 @@ def test_judging(spark):
         "junk": ("UNREADABLE", False, 1), "late": ("UNREADABLE", False, 2), "third": ("REJECTED", False, 2),
     }
     reasons = {r["key"]: r["reason"] for r in judge_answers(df).collect()}
-    assert reasons["never"] == "invalid regular expression" and "nested" in reasons["wait"] and reasons["two"] is None
+    assert reasons["never"] == "does-not-compile" and "nested" in reasons["wait"] and reasons["two"] is None
 
 
 def rule(pattern):

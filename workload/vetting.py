@@ -84,25 +84,25 @@ bared AS (SELECT *, {_BARE} AS bare FROM spelled),
 counted AS (SELECT *, {_COUNT} AS groups,
   list_filter(regexp_extract_all(replacement_template, '(?:^|[^\\])\$(\d)', 1), lambda x: true) AS refs FROM bared),
 judged AS (SELECT *, CASE
-  WHEN trim(java) = '' THEN 'empty pattern'
-  WHEN length(pattern) > 2000 THEN concat('pattern has ', length(pattern), ' characters, at most 2000 are allowed')
-  WHEN contains(java, '(?#') THEN 'Java has no inline comments'
-  WHEN regexp_matches(java, '\[\[:[a-z]+:\]\]') THEN 'Java has no POSIX classes; use \p{{Alpha}} and its kin'
-  WHEN contains(java, '(?P>') THEN 'Java has no recursive groups'
+  WHEN trim(java) = '' THEN 'blank'
+  WHEN length(pattern) > 2000 THEN 'too-long'
+  WHEN contains(java, '(?#') THEN 'not-java:inline-comment'
+  WHEN regexp_matches(java, '\[\[:[a-z]+:\]\]') THEN 'not-java:posix-class'
+  WHEN contains(java, '(?P>') THEN 'not-java:recursive-group'
   WHEN contains(bare, '[') OR len(regexp_extract_all(bare, '\(')) <> len(regexp_extract_all(bare, '\)'))
-    THEN 'invalid regular expression'
-  WHEN regexp_matches(java, '\((?:[^()?:][^()]*)?[+*]\)\s*[+*]') THEN 'unsafe pattern: nested quantifier'
-  WHEN regexp_matches(java, '\(\?:[^()]*[+*]\)\s*[+*]') THEN 'unsafe pattern: nested quantifier in a non-capturing group'
-  WHEN contains(java, '.*.*') THEN 'unsafe pattern: two .* in a row'
-  WHEN contains(java, '.+.+') THEN 'unsafe pattern: two .+ in a row'
-  WHEN regexp_matches(java, '\((?:[^()?:|][^()|]*)?\|[^()]*\)\s*[+*]') THEN 'unsafe pattern: quantified alternation'
-  WHEN regexp_matches(java, '\{{\d{{4,}},?\d*\}}') THEN 'unsafe pattern: repetition in the thousands'
-  WHEN operation = 'MASK' AND replacement_template = '' THEN 'MASK needs a template, for example ''$1***'''
+    THEN 'does-not-compile'
+  WHEN regexp_matches(java, '\((?:[^()?:][^()]*)?[+*]\)\s*[+*]') THEN 'runaway:nested-repeat'
+  WHEN regexp_matches(java, '\(\?:[^()]*[+*]\)\s*[+*]') THEN 'runaway:nested-repeat-noncapturing'
+  WHEN regexp_matches(java, '\((?:\?:)?[^()]*[+*][^()]*\?\)\s*[+*]') THEN 'runaway:optional-tail'
+  WHEN contains(java, '.*.*') THEN 'runaway:any-any-star'
+  WHEN contains(java, '.+.+') THEN 'runaway:any-any-plus'
+  WHEN regexp_matches(java, '\((?:[^()?:|][^()|]*)?\|[^()]*\)\s*[+*]') THEN 'runaway:repeated-choice'
+  WHEN regexp_matches(java, '\{{\d{{4,}},?\d*\}}') THEN 'runaway:huge-count'
+  WHEN operation = 'MASK' AND replacement_template = '' THEN 'template:missing'
   WHEN operation = 'MASK' AND len(list_filter(refs, lambda x: CAST(x AS INTEGER) > groups)) > 0
-    THEN concat('template uses group(s) [', array_to_string(list_sort(list_distinct(
-      list_filter(refs, lambda x: CAST(x AS INTEGER) > groups))), ', '), '], the pattern has ', groups)
+    THEN 'template:number'
   WHEN operation = 'EXTRACT' AND (group_no > groups OR group_no < 0)
-    THEN concat('EXTRACT wants group ', group_no, ', the pattern has ', groups)
+    THEN 'group-out-of-range'
   END AS reason FROM counted),
 runnable AS (SELECT *, replace(CASE WHEN reason IS NOT NULL OR contains(java, '\k<') THEN '$^'
   WHEN case_insensitive THEN concat('(?i)', java) ELSE java END, '(?<', '(?P<') AS safe FROM judged),
@@ -123,12 +123,12 @@ def _named(items: str) -> str:
     "lint_rules",
     rf"""WITH {VETTED} SELECT rule_id, java AS pattern, reason IS NULL AS accepted, reason, self_test_passed,
     array_to_string(list_filter([
-      CASE WHEN contains(pattern, '(?P<') THEN 'named groups (?P<n>) rewritten to Java''s (?<n>)' END,
-      CASE WHEN contains(pattern, '(?P=') THEN 'references (?P=n) rewritten to Java''s \k<n>' END,
+      CASE WHEN contains(pattern, '(?P<') THEN 'rewritten:named-groups' END,
+      CASE WHEN contains(pattern, '(?P=') THEN 'rewritten:references' END,
       CASE WHEN operation = 'MASK' AND reason IS NULL AND len(refs) = 0
-        THEN 'the MASK template keeps no group, so whole matches go' END,
-      CASE WHEN len(missed) > 0 THEN concat('examples not found: ', {_named('missed')}) END,
-      CASE WHEN len(false_hits) > 0 THEN concat('counter-examples found: ', {_named('false_hits')}) END
+        THEN 'template-keeps-no-group' END,
+      CASE WHEN len(missed) > 0 THEN concat('missed:', {_named('missed')}) END,
+      CASE WHEN len(false_hits) > 0 THEN concat('false-hits:', {_named('false_hits')}) END
     ], lambda x: x IS NOT NULL), '; ') AS warnings FROM vetted""",
 )
 def linted(spark, sf_dir):
@@ -173,12 +173,11 @@ def self_tests(spark, sf_dir):
 
 @query(
     "group_counts",
-    f"WITH {VETTED} SELECT rule_id, CAST(groups AS INTEGER) AS groups FROM counted WHERE NOT contains(bare, '[')",
+    f"WITH {VETTED} SELECT rule_id, CAST(groups AS INTEGER) AS groups FROM counted",
 )
 def group_counts(spark, sf_dir):
-    """Capturing groups of every pattern with closed character classes."""
-    rules = rules_of_parts(spark, sf_dir).where(~F.col("pattern").startswith("[a-z") | F.col("pattern").contains("]"))
-    return rules.select("rule_id", group_count(to_java(F.col("pattern"))).alias("groups"))
+    """Capturing groups of every pattern."""
+    return rules_of_parts(spark, sf_dir).select("rule_id", group_count(to_java(F.col("pattern"))).alias("groups"))
 
 
 @query(
@@ -586,8 +585,8 @@ verdicts AS (SELECT {_key_sql('operation', "concat('find code ', code)")} AS key
   CASE code % 6 WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'ACCEPTED' WHEN 2 THEN 'REPAIR' WHEN 3 THEN 'UNREADABLE'
     ELSE 'REJECTED' END AS status,
   CASE WHEN code % 6 < 2 THEN concat('c', code, '(x)') END AS fresh,
-  CASE code % 6 WHEN 3 THEN 'the answer is not JSON: no idea' WHEN 2 THEN 'unsafe pattern: nested quantifier'
-    WHEN 4 THEN 'unsafe pattern: nested quantifier' END AS reason,
+  CASE code % 6 WHEN 3 THEN 'the answer is not JSON: no idea' WHEN 2 THEN 'runaway:nested-repeat'
+    WHEN 4 THEN 'runaway:nested-repeat' END AS reason,
   CASE WHEN code % 6 IN (1, 4) THEN 2 ELSE 1 END AS attempts
   FROM (SELECT c_custkey AS code, {choose(OPS, 'c_custkey')} AS operation FROM customer) WHERE code % 6 < 5)"""
 
