@@ -156,7 +156,8 @@ def repeated_cells(texts: DataFrame, copies: DataFrame) -> DataFrame:
     """
     found = stored(anchor_rows(texts.select("node", "text")), "anchors")
     place = F.struct("node", "spot")
-    again = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
+    # Written, so that the join reads both sides by shuffle and a common digit can be split.
+    again = stored(found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"), "repeated-digits")
     spots = (
         found.join(again, "key").groupBy("node", "spot").agg(F.max("first").alias("first"), F.max("last").alias("last"))
         .groupBy("node").agg(F.collect_list(F.struct("spot", "first", "last")).alias("spots"))
@@ -181,11 +182,13 @@ def repeated_cells(texts: DataFrame, copies: DataFrame) -> DataFrame:
     windows = stored(window_rows(parts).distinct(), "windows")
     kind = F.struct("h1", "h2")
     twice = windows.groupBy("f1", "f2").agg(F.min(kind).alias("a"), F.max(kind).alias("b")).where("a <> b").select("f1", "f2")
+    twice = stored(twice, "repeated-windows")
     bits = windows.join(twice, ["f1", "f2"]).groupBy("h1", "h2").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("bits"))
-    known = (
+    known = stored(
         kinds.where("again").select("h1", "h2", F.lit(-1).cast("long").alias("bits")).union(bits)
-        .groupBy("h1", "h2").agg(F.bit_or("bits").alias("bits"))
-    )
+        .groupBy("h1", "h2").agg(F.bit_or("bits").alias("bits")),
+        "repeated-kinds",
+    )
     return (
         cells.join(known, ["h1", "h2"]).groupBy("node", "start", "span").agg(F.bit_or("bits").alias("bits"))
         .groupBy("node").agg(F.collect_list(F.struct("start", "span", "bits")).alias("marks"))
