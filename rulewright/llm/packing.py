@@ -57,13 +57,14 @@ class WordIds:
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def spans(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, data: np.ndarray, at: np.ndarray, special: bool) -> tuple[np.ndarray, np.ndarray]:
         """Runs without white space, also cut between a Latin letter and a following sign or the
-        reverse: places where the tokenizer's own pattern always ends a word."""
+        reverse: places where the tokenizer's own pattern always ends a word.  Where texts may
+        hold ``special`` tokens, which consist of both, there are no such cuts."""
         word = ~SPACE[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[at] = True
-        if len(data) > 2:
+        if len(data) > 2 and not special:
             letter, sign = _LETTER[data], _SIGN[data]
             edge[1:-1] |= (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
             latin = (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
@@ -89,10 +90,9 @@ class WordIds:
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each text in a slice."""
-        plain = data
-        if b"<|" not in data.tobytes():  # special tokens are told by their case
-            plain = LOWER[data]
-        starts, ends = self.spans(plain, at)
+        special = b"<|" in data.tobytes()
+        plain = data if special else LOWER[data]  # special tokens are told by their case
+        starts, ends = self.spans(plain, at, special)
         hashes = span_hashes(plain, starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         known = np.searchsorted(self.hashes, distinct)
