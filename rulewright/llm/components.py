@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,15 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
+
+
+def bipartite_roots(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a matrix of links, a number per row and column that is equal inside a component."""
+    n, m = hit.shape
+    rows = np.arange(n)
+    while True:
+        columns = np.where(hit, rows[:, None], n).min(axis=0)
+        fresh = np.minimum(rows, np.where(hit, columns[None, :], n).min(axis=1))
+        if (fresh == rows).all():
+            return rows, columns
+        rows = fresh

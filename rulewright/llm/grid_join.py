@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rulewright.llm.common import stored
-from rulewright.llm.components import components
+from rulewright.llm.components import bipartite_roots, components
 
 COSINE = 0.93
 EPSILON = math.sqrt(2 - 2 * COSINE)
@@ -165,18 +165,6 @@ def block_pairs(cut: DataFrame) -> DataFrame:
     return pairs.join(name, [*by, "a"]).join(other, [*by, "b"]).select("left", "right")
 
 
-def _roots(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a matrix of links, a number per row and column that is equal inside a component."""
-    n, m = hit.shape
-    rows = np.arange(n)
-    while True:
-        columns = np.where(hit, rows[:, None], n).min(axis=0)
-        fresh = np.minimum(rows, np.where(hit, columns[None, :], n).min(axis=1))
-        if (fresh == rows).all():
-            return rows, columns
-        rows = fresh
-
-
 def links_of_pairs(pairs: DataFrame, cut: DataFrame, cosine: float) -> DataFrame:
     """node, links, root: per block pair and node with links, their number and a node of its component."""
     near = 1e-9
@@ -199,7 +187,7 @@ def links_of_pairs(pairs: DataFrame, cut: DataFrame, cosine: float) -> DataFrame
                 if same:
                     hit |= hit.T
                     np.fill_diagonal(hit, False)
-                left, right = _roots(hit | np.eye(len(hit), dtype=bool) if same else hit)
+                left, right = bipartite_roots(hit | np.eye(len(hit), dtype=bool) if same else hit)
                 out = [(hub[0][k], hit[k] @ mine[1], hub[0][left[k]]) for k in np.flatnonzero(hit.any(axis=1))]
                 if not same:
                     out += [(mine[0][k], hub[1] @ hit[:, k], hub[0][right[k]]) for k in np.flatnonzero(hit.any(axis=0))]

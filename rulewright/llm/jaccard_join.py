@@ -1,19 +1,22 @@
 """N-gram Jaccard join with several global token orders.
 
-Two shingle sets with Jaccard similarity of 0.8 or more share a token among the first
-``n - ceil(0.8 n) + 1`` tokens of each, in any global order.  Three orders are used.
+Two shingle sets with Jaccard similarity of 0.8 or more share k tokens among the first
+``n - ceil(0.8 n) + k`` tokens of each, in any global order.  Three orders are used.
 Each puts tokens that many documents hold last and orders the others by a hash of its
-own.  Pairs that share a prefix token in the first order are candidates; only those that
-also share one in the other orders are verified by the size of their intersection.
+own.  In the first order k is a tenth of the set and one more, so documents that only
+have a passage in common are no candidates; pairs must also share a prefix token (k = 1)
+in the other orders before they are verified by the size of their intersection.
 
 Documents with equal sets are one node.  The aim is the components, so a list of nodes
 that share a token is not expanded into pairs: every node is first compared with one
 pivot of its list, linked nodes become one component, and lists inside one component are
-done.  After ``ROUNDS`` rounds with other pivots, nodes of different components that
-still share a list are compared pair by pair, so no link between components is missed.
+done.  After ``ROUNDS`` rounds with other pivots, all nodes of different components that
+still share enough tokens are compared: they are put into blocks, by component where it
+is large, and two blocks are compared by one matrix product, so no link between
+components is missed and no pair is a row.
 
 Tokens travel to their lists as packed arrays, one per task and bucket.  Sets are
-compared in a stream sorted by pivot, of which a task holds two sets at a time.
+compared in a stream sorted by pivot or block, of which a task holds two at a time.
 """
 
 from __future__ import annotations
@@ -22,22 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.llm.common import stored
-from rulewright.llm.components import components
+from rulewright.llm.components import bipartite_roots, components
 from rulewright.llm.textbytes import U64, mix, shingle_sets, signed, slices
 
 #: Seeds of the second and third order; the first orders tokens by their own value.
 SEEDS = (0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
-ROUNDS = 3
+ROUNDS = 2
 #: A token with more than one in 2^18 of all set members is frequent, so at most 2^18 are.
 FREQUENT_BITS = 18
 CHUNK = 1 << 20
 #: Prefix tokens that one bucket should not exceed.
 BUCKET_TOKENS = 4_000_000
 SALTS = 32
+#: Nodes of a block that are compared at once; a component of half as many has blocks of its own.
+BLOCK = 128
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -45,19 +50,20 @@ def node_of(tokens: np.ndarray) -> int:
     return int(signed(mix(np.array([np.add.reduce(mix(tokens ^ U64(0x9E3779B97F4A7C15))) + U64(len(tokens))], U64)))[0])
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-4 * n // 5) + 1
+def prefix_length(n: int, shared: int = 1) -> int:
+    return n - -(-4 * n // 5) + shared
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray, seed: int = 0) -> np.ndarray:
-    """The first tokens of a sorted set in one order."""
+    """The first tokens of a sorted set in one order (0: the first), so many that similar sets share
+    one of them, or in the first order a tenth of the set and one more."""
     late = np.zeros(len(tokens), bool)
     if len(frequent):
         at = np.searchsorted(frequent, tokens)
         at[at == len(frequent)] = 0
         late = frequent[at] == tokens
     keys = mix(tokens ^ U64(seed)) if seed else tokens
-    return tokens[np.lexsort((keys, late))[: prefix_length(len(tokens))]]
+    return tokens[np.lexsort((keys, late))[: prefix_length(len(tokens), 1 if seed else len(tokens) // 10 + 1)]]
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -162,6 +168,18 @@ def shared_lists(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
     return dealt.repartition(buckets, "bucket").mapInArrow(gather, "token long, node long, n int")
 
 
+def worth_comparing(lists: DataFrame) -> DataFrame:
+    """``lists`` without nodes that share too few prefix tokens with all others together, whatever they are."""
+    for _ in range(2):
+        # A similar set has 0.8 n tokens at least.
+        least = F.floor(F.ceil(F.col("n") * 4 / 5) / 10) + 1
+        nodes = lists.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("node")
+        left = lists.join(nodes, "node")
+        several = left.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
+        lists = stored(left.join(several, "token").select("token", "node", "n"), "open-lists")
+    return lists
+
+
 def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, tokens (sorted, packed) for the nodes in ``wanted`` (columns id, node): one document's text each."""
 
@@ -213,35 +231,108 @@ def _with_component(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     return lists.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("comp"))
 
 
-def _fit() -> F.Column:
+def _fit() -> Column:
     """Sizes that allow a similarity of 0.8."""
     return 5 * F.least("n", "other_n") >= 4 * F.greatest("n", "other_n")
 
 
+def _enough() -> Column:
+    """As many shared prefix tokens as a similarity of 0.8 asks for."""
+    return F.count("*") >= F.floor(F.min(F.least("n", "other_n")) / 10) + 1
+
+
 def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """node, pivot: each node with the pivot it shares most prefix tokens with, of another component."""
     pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("pivot"), F.col("comp").alias("other"), F.col("n").alias("other_n")))
     hubs = lists.groupBy("token").agg(pivot.alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "p.*")
     return (
         lists.join(hubs, "token").where(F.col("comp") != F.col("other")).where(_fit())
-        .groupBy("node", "pivot").agg(F.count("*").alias("shared"))
+        .groupBy("node", "pivot").agg(F.count("*").alias("shared"), _enough().alias("enough")).where("enough")
         .groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("best"))
         .select("node", "best.pivot")
     )
 
 
-def open_pairs(lists: DataFrame) -> DataFrame:
-    """node, pivot: all pairs of different components that share a list."""
-    mixed = lists.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    left = lists.join(mixed, "token")
-    right = left.select("token", F.col("node").alias("pivot"), F.col("comp").alias("other"), F.col("n").alias("other_n"))
+def blocks_of(grouped: DataFrame, clusters: DataFrame) -> DataFrame:
+    """node, n, comp, block, owner: ``owner`` is the component that all nodes of the block are in, if it is large."""
+    nodes = grouped.select("node", "n", "comp").distinct().join(clusters.select("node", F.col("root").alias("cluster")), "node", "left")
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
+    nodes = nodes.join(sizes, "comp")
+    owner = F.when(F.col("size") >= BLOCK // 2, F.col("comp"))
+    pool = F.coalesce(owner, F.col("cluster"), F.col("node"))
+    nodes = nodes.select("node", "n", "comp", owner.alias("owner"), F.xxhash64(owner.isNotNull(), pool).alias("pool"))
+    pools = nodes.groupBy("pool").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return nodes.join(pools, "pool").select("node", "n", "comp", "owner", F.xxhash64("pool", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+
+
+def block_pairs(grouped: DataFrame, blocks: DataFrame) -> DataFrame:
+    """left, right: blocks with nodes of different components, whose lists meet often enough for one link."""
+    facts = blocks.groupBy("block").agg(F.min("n").alias("least"), F.first("owner").alias("owner"), (F.min("comp") != F.max("comp")).alias("mixed"))
+    tokens = grouped.select("token", "node").join(blocks.select("node", "block"), "node").select("token", "block").distinct().join(facts, "block")
+    other = tokens.select("token", F.col("block").alias("right"), F.col("least").alias("other_least"), F.col("owner").alias("other_owner"))
+    apart = F.when(F.col("block") == F.col("right"), F.col("mixed")).otherwise(~F.col("owner").eqNullSafe(F.col("other_owner")) | F.col("owner").isNull())
     return (
-        left.join(right, "token")
-        .where((F.col("node") > F.col("pivot")) & (F.col("comp") != F.col("other"))).where(_fit())
-        .select("node", "pivot").distinct()
+        tokens.join(other, "token").where((F.col("block") <= F.col("right")) & apart)
+        .groupBy(F.col("block").alias("left"), "right")
+        .agg((F.count("*") >= F.floor(F.min(F.least("least", "other_least")) / 10) + 1).alias("enough"))
+        .where("enough").select("left", "right")
     )
 
 
+def _meets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets."""
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+
+    def rows(sets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(sets), len(both)), np.float32)
+        for k, s in enumerate(sets):
+            at = np.searchsorted(both, s)
+            at[at == len(both)] = 0
+            out[k, at[both[at] == s]] = 1
+        return out
+
+    return rows(left) @ rows(right).T if len(both) else np.zeros((len(left), len(right)), np.float32)
+
+
+def block_links(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """a, b: enough links between the nodes of each pair of blocks to connect what is linked there."""
+    known = pairs.sparkSession.sparkContext.broadcast(frequent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
+        for batch in batches:
+            columns = [batch.column(c) for c in ("member", "nodes", "tokens")]
+            for member, nodes, tokens in zip(columns[0].to_pylist(), columns[1], columns[2]):
+                nodes = np.array(nodes.values)
+                sets = [np.frombuffer(x.as_buffer(), U64) for x in tokens.values]
+                mine = (nodes, sets, [[prefix(s, known.value, seed) for s in sets] for seed in SEEDS])
+                if not member:
+                    hub = mine
+                    continue
+                hit = np.ones((len(hub[0]), len(nodes)), bool)
+                for k in range(len(SEEDS)):
+                    if hit.any():
+                        hit &= _meets(hub[2][k], mine[2][k]) > 0
+                if hit.any():
+                    shared = _meets(hub[1], sets).astype(np.int64)
+                    sizes = np.array([len(s) for s in hub[1]])[:, None] + np.array([len(s) for s in sets])[None, :]
+                    hit &= 100 * shared >= 80 * (sizes - shared)
+                left, right = bipartite_roots(hit)
+                rows, columns_hit = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+                a = np.concatenate([hub[0][rows], nodes[columns_hit]])
+                b = np.concatenate([hub[0][left[rows]], hub[0][right[columns_hit]]])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    packed = blocks.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "tokens")).alias("rows"))
+    packed = stored(packed.select("block", "rows.node", "rows.tokens").toDF("block", "nodes", "tokens"), "set-blocks")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("right"), F.lit(4)).cast("int"))
+    members = salted.join(packed.withColumnRenamed("block", "right"), "right").select("left", "salt", F.lit(1).alias("member"), "nodes", "tokens")
+    hubs = salted.select("left", "salt").distinct().join(packed.withColumnRenamed("block", "left"), "left")
+    hubs = hubs.select("left", "salt", F.lit(0).alias("member"), "nodes", "tokens")
+    ordered = members.union(hubs).repartition("left", "salt").sortWithinPartitions("left", "salt", "member")
+    return ordered.mapInArrow(compare, "a long, b long").where("a <> b")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -258,23 +349,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     frequent = frequent_tokens(described, total)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (5 * BUCKET_TOKENS))
-    lists = stored(shared_lists(docs, frequent, buckets), "shared-lists")
+    lists = worth_comparing(stored(shared_lists(docs, frequent, buckets), "shared-lists"))
     ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"))
-    sets = stored(node_sets(docs, ids.join(lists.select("node").distinct(), "node")).dropDuplicates(["node"]), "node-sets")
-    links, roots = None, None
-    for turn in range(ROUNDS + 1):
-        grouped = _with_component(lists, roots)
-        pairs = stored(star_pairs(grouped, turn) if turn < ROUNDS else open_pairs(grouped), "pairs")
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
+    sets = stored(node_sets(docs, ids.join(lists.select("node").distinct(), "node")), "node-sets")
+    links, roots, clusters = None, None, None
+    for turn in range(ROUNDS):
+        pairs = stored(star_pairs(_with_component(lists, roots), turn), "pairs")
         found = stored(verified(pairs, sets, frequent), "found")
         links = found if links is None else links.union(found)
+        near = pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        clusters = near if clusters is None else clusters.union(near)
         roots = components(links)
-    named = rows if roots is None else rows.join(roots, "node", "left")
-    key = F.coalesce(F.col("root"), F.col("node")) if roots is not None else F.col("node")
-    named = named.select("doc_id", "n_shingles", key.alias("component"))
+    grouped = _with_component(lists, roots)
+    blocks = stored(blocks_of(grouped, components(clusters)), "blocks")
+    last = stored(block_pairs(grouped, blocks), "block-pairs")
+    roots = components(links.union(stored(block_links(last, blocks, sets, frequent), "found")))
+    named = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component"))
     smallest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
