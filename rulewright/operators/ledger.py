@@ -167,7 +167,26 @@ def newest_first(ledger: DataFrame) -> DataFrame:
     return ledger.orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
+def latest_runs(ledger: DataFrame) -> DataFrame:
+    """One row per run of a ledger that holds a row per transition: the ended or else newest one."""
+    ended = F.struct(is_terminal(F.col("status")).alias("ended"), F.coalesce("finished_at", "started_at", "created_at").alias("at"))
+    last = F.max(F.struct(ended.alias("order"), F.struct(*ledger.columns).alias("run"))).alias("last")
+    return ledger.groupBy("id").agg(last).select("last.run.*")
+
+
+def runs_after(ledger: DataFrame, created_at: Column, run_id: Column, size: int = LIST_SIZE) -> DataFrame:
+    """The page of runs after the one named, newest first.
+
+    Pages by the last seen run, so a task holds one page however deep it lies.
+    """
+    older = (F.col("created_at") < created_at) | ((F.col("created_at") == created_at) & (F.col("id") < run_id))
+    return list_page(ledger.where(older), 1, size)
+
+
 def list_page(ledger: DataFrame, page: int = 1, size: int = LIST_SIZE) -> DataFrame:
-    """One page of runs, newest first; a size below 1 is the usual size."""
+    """One page of runs, newest first; a size below 1 is the usual size, one above 500 is 500.
+
+    For deep pages see runs_after.
+    """
     taken = min(size, LIST_CEILING) if size >= 1 else LIST_SIZE
     return newest_first(ledger).offset((max(page, 1) - 1) * taken).limit(taken)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from rulewright.operators.ledger import LEDGER_SCHEMA
 from rulewright.operators.lint import lint_rules
 from rulewright.operators.paging import page_index
 from rulewright.operators.requests import gate_requests, payloads
-from rulewright.operators.resolve import judge_answers, keyed, live_entries, resolve
+from rulewright.operators.resolve import judge_answers, keyed, live_entries, remember, resolve
 from rulewright.operators.results import write_counted
 from rulewright.operators.transform import apply_rule, resolve_targets
 from rulewright.rule import REPLACE, TextRule, rules_table
@@ -52,7 +51,8 @@ class RuleSource:
     """Where a run gets its rule: given, remembered, or read from answers.
 
     ``memory`` has key, rule, stored_at; ``answers`` has key, operation, attempt,
-    answer (see operators.resolve).
+    answer (see operators.resolve).  With ``memory_path`` memory is the Parquet table
+    there, and a rule that was accepted from an answer is added to it.
     """
 
     rule: TextRule | None = None
@@ -60,6 +60,10 @@ class RuleSource:
     answers: DataFrame | None = None
     provider: str = ""
     model: str = ""
+    memory_path: str = ""
+
+    def remembered(self, spark: SparkSession) -> DataFrame | None:
+        return spark.read.parquet(self.memory_path) if self.memory_path else self.memory
 
 
 def _now() -> datetime:
@@ -92,17 +96,21 @@ def settle_rule(
             raise RuleError(row["reason"])
         cached = False
     else:
-        memory = rules.memory
+        memory = rules.remembered(spark)
         if memory is None or rules.answers is None:
             raise RuleError("give a rule, or both memory and answers")
         asked = ask(spark, request, frame, rules)
         # One request: its key, as a value, reaches the scans of both tables.
         own = F.col("key") == asked.first()["key"]
         live = live_entries(memory.where(own), F.current_timestamp())
-        outcome = resolve(asked, live, judge_answers(rules.answers.where(own))).first()
+        verdicts = judge_answers(rules.answers.where(own))
+        outcome = resolve(asked, live, verdicts).first()
         if outcome["rule"] is None:
             raise RuleError(outcome["reason"] or "no answer has come in for this description")
         row, cached = outcome["rule"], outcome["was_cached"]
+        if rules.memory_path and not cached:
+            # One row; readers of memory take the newest of a key.
+            remember(memory.limit(0), verdicts, F.current_timestamp()).write.mode("append").parquet(rules.memory_path)
 
     given = row.asDict()
     given.update(operation=request.operation)
@@ -136,12 +144,16 @@ def run_request(
     base: str = "",
     attempt: int = 1,
 ) -> DataFrame:
-    """Run one request and append its row to the ledger; the row is returned.
-
-    The result goes to ``results``/<id>, its page index to ``results``/<id>.index.
-    Problems with the request, rule or source end in a FAILED row, and so do Spark
-    errors, which are raised as well.
+    """Run one request; the ledger gets a row when it starts and one when it ends.
+
+    The last row is returned; see ledger.latest_runs for a table with one row per run.
+    The run uses the request as the gate cleaned it, and the ledger tells the same.  With
+    ``base`` a key is relative to it, so leading slashes go; without, a key is a whole URI
+    or path and keeps them.  The result goes to ``results``/<id>, its page index to
+    ``results``/<id>.index.  Problems with the request, rule or source end in a FAILED
+    row, and so do all other errors, which are raised as well.
     """
+    request, problems = _gated(spark, request, base)
     created = _now()
     row = {
         "id": request.id,
@@ -159,19 +171,22 @@ def run_request(
         "created_at": created,
         "started_at": created,
     }
+    _append(spark, row, ledger)
     try:
+        if problems:
+            raise RuleError("; ".join(problems))
         row.update(_run(spark, request, rules, results.rstrip("/"), base))
         row.update(status="SUCCESS", progress=100, phase="done")
     except (RuleError, SourceError) as problem:
         row.update(_failure(problem))
-    except PySparkException as problem:
-        row.update(_failure(problem))
-        _append(spark, row, ledger)
+    except BaseException as problem:
+        _append(spark, row | _failure(problem) | {"finished_at": _now()}, ledger)
         raise
-    return _append(spark, row, ledger)
+    return _append(spark, row | {"finished_at": _now()}, ledger)
 
 
-def _run(spark, request: RunRequest, rules: RuleSource, results: str, base: str) -> dict:
+def _gated(spark: SparkSession, request: RunRequest, base: str) -> tuple[RunRequest, list[str]]:
+    """The request as the gate cleaned it, and what the gate has against it."""
     gate = [
         (
             request.source_key,
@@ -182,10 +197,14 @@ def _run(spark, request: RunRequest, rules: RuleSource, results: str, base: str)
             list(request.target_columns),
         )
     ]
-    problems = gate_requests(spark.createDataFrame(gate, GATE_SCHEMA)).first()["problems"]
-    if problems:
-        raise RuleError("; ".join(problems))
-    frame = read_table(spark, resolve_uri(request.source_key, base), sheet=request.sheet_name or None)
+    clean = gate_requests(spark.createDataFrame(gate, GATE_SCHEMA)).first()
+    names = ("sheet_name", "operation", "natural_language", "replacement_value", "target_columns")
+    key = clean["source_key"] if base else request.source_key.strip()
+    return replace(request, source_key=key, **{n: clean[n] for n in names}), clean["problems"]
+
+
+def _run(spark, request: RunRequest, rules: RuleSource, results: str, base: str) -> dict:
+    frame = read_table(spark, resolve_uri(request.source_key, base))
     resolve_targets(frame, request.target_columns)
     rule, told = settle_rule(spark, request, frame, rules)
     outcome = apply_rule(frame, rule, request.target_columns, request.replacement_value)
@@ -213,7 +232,6 @@ def _failure(problem: Exception) -> dict:
 
 
 def _append(spark: SparkSession, row: dict, ledger: str) -> DataFrame:
-    row["finished_at"] = _now()
     line = spark.createDataFrame([row], LEDGER_SCHEMA)
     line.write.mode("append").parquet(ledger)
     return line

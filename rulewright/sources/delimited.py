@@ -12,10 +12,12 @@ HEAD_LINES = 50
 
 
 def detect_delimiter(spark: SparkSession, uri: str, lines: int = HEAD_LINES) -> str:
-    """The delimiter that splits every head line into the same number of fields.
+    """The delimiter of the header that most head lines agree with.
 
-    Text inside quotes is left out of the count.  Ties go to the delimiter with
-    more fields, then to the order above.  TSV files are always tab-separated.
+    A delimiter counts by the share of head lines with as many of it as the header has,
+    more than half at least; then by its number in the header, then by the order above,
+    so that a ragged line changes nothing.  Text inside quotes is left out.  TSV files are
+    always tab-separated; a file in which nothing is clear is split at the fallback.
     """
     if uri.lower().endswith(".tsv"):
         return "\t"
@@ -26,8 +28,8 @@ def detect_delimiter(spark: SparkSession, uri: str, lines: int = HEAD_LINES) ->
     # head() opens as few partitions as it needs, however large the file is.
     head = spark.read.text(uri).where(F.length(F.trim("value")) > 0).select(*counts).head(lines)
     seen = dict(zip(DELIMITERS, zip(*head)))
-    steady = {d: n[0] for d, n in seen.items() if n[0] > 0 and len(set(n)) == 1}
-    return max(steady, key=steady.get) if steady else FALLBACK
+    clear = {d: (n.count(n[0]) / len(n), n[0]) for d, n in seen.items() if n[0] > 0 and 2 * n.count(n[0]) > len(n)}
+    return max(clear, key=clear.get) if clear else FALLBACK
 
 
 def read_delimited(spark: SparkSession, uri: str, sep: str | None = ",") -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from rulewright.functions.text import SAMPLE_CLIP, as_text, clip, column, text_or_blank
 from rulewright.operators.transform import visible
 from rulewright.sources.tables import extension, read_table, resolve_uri
-from rulewright.sources.workbooks import sheet_names
 
 # Rows shown when none are asked for, the most ever shown, samples taken.
 PREVIEW_ROWS = 5
@@ -25,8 +24,8 @@ class Preview:
 
     frame: DataFrame | None
     columns: list[str] = field(default_factory=list)
-    sheets: list[str] = field(default_factory=list)
     note: str = ""
+    truncated: bool = False
 
 
 def head_of(df: DataFrame, rows: int | None = PREVIEW_ROWS) -> DataFrame:
@@ -42,25 +41,22 @@ def preview(
     rows: int | None = PREVIEW_ROWS,
     *,
     base: str = "",
-    sheet: str | None = None,
 ) -> Preview:
     """Head of a source.  The delimiter is detected, blank headers become col_<i>."""
     uri = resolve_uri(key, base)
-    df = read_table(spark, uri, sheet=sheet, sep=None)
-    sheets: list[str] = []
-    if extension(uri) == ".xlsx":
-        listed = sheet_names(spark, uri).orderBy("path", "position").limit(PREVIEW_CEILING)
-        sheets = [r["sheet"] for r in listed.collect()]
-    elif extension(uri) != ".parquet":
+    df = read_table(spark, uri, sep=None)
+    if extension(uri) != ".parquet":
         # The scan calls a blank header _c<i>.
         names = [
             f"col_{i}" if n == f"_c{i}" else n.strip() for i, n in enumerate(df.columns)
         ]
         df = df.toDF(*names)
     if not df.columns:
-        return Preview(None, sheets=sheets, note="file appears to be empty")
+        return Preview(None, note="no columns")
+    # One row more than is shown tells whether there are more.
     head = head_of(df, rows)
-    return Preview(head, head.columns, sheets)
+    size = min(rows or PREVIEW_ROWS, PREVIEW_CEILING)
+    return Preview(head, head.columns, truncated=len(df.limit(size + 1).take(size + 1)) > size)
 
 
 def sample_values(df: DataFrame, columns: Sequence[str], limit: int = SAMPLE_ROWS) -> DataFrame:

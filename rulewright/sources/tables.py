@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulewright.errors import SourceError
 from rulewright.sources.delimited import read_delimited
-from rulewright.sources.workbooks import read_workbooks
 
 # Extensions that can be selected, and schemes taken as they are.
 EXTENSIONS = (".csv", ".tsv", ".xlsx", ".xls", ".parquet")
+WORKBOOKS = (".xlsx", ".xls")
 WHOLE_URIS = ("s3a://", "file:", "hdfs://", "/")
 
 
@@ -33,13 +33,13 @@ def read_table(
     key: str,
     *,
     base: str = "",
-    sheet: str | None = None,
     sep: str | None = "",
 ) -> DataFrame:
-    """Open CSV, TSV, Parquet or a workbook as a DataFrame.
+    """Open CSV, TSV or Parquet as a DataFrame.
 
-    Delimited and workbook columns are all text; Parquet keeps its own types.
-    ``sep`` overrides the delimiter, ``sep=None`` detects it.
+    Delimited columns are all text; Parquet keeps its own types.  ``sep`` overrides the
+    delimiter, ``sep=None`` detects it.  Workbooks are listed but not read, since Spark
+    has no reader for them.
     """
     uri = resolve_uri(key, base)
     kind = extension(uri)
@@ -48,6 +48,6 @@ def read_table(
     if kind in (".csv", ".tsv"):
         usual = "\t" if kind == ".tsv" else ","
         return read_delimited(spark, uri, usual if sep == "" else sep)
-    if kind == ".xlsx":
-        return read_workbooks(spark, uri, sheet=sheet)
+    if kind in WORKBOOKS:
+        raise SourceError(f"unsupported file type {kind!r}: workbooks are not read; save {key} as CSV or Parquet")
     raise SourceError(f"unsupported file type {kind!r} for {key}")

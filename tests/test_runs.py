@@ -11,6 +11,7 @@ from rulewright.operators.ledger import (
     current_state,
     fail_stale,
     full_view,
+    latest_runs,
     list_page,
     run_metrics,
     stale_runs,
@@ -118,7 +119,23 @@ def test_run_with_a_given_rule(spark, people_csv, places):
     assert row["finished_at"] >= row["started_at"]
     page = read_page(spark, spark.read.parquet(row["index_path"]), 1, 3)
     assert [r["Email"] for r in page.collect()] == ["GONE", "GONE", "GONE"]
-    assert spark.read.parquet(places["ledger"]).count() == 1
+    assert sorted(r["status"] for r in spark.read.parquet(places["ledger"]).collect()) == ["RUNNING", "SUCCESS"]
+
+
+def test_a_run_uses_the_cleaned_request(spark, people_csv, places):
+    request = RunRequest(f" {people_csv} ", [" email ", "EMAIL"], "  find e-mail ", replacement_value=" GONE ")
+    row = run_request(spark, request, RuleSource(rule=known_rule("email")), **places).first()
+    assert (row["source_key"], row["natural_language"], row["replacement_value"]) == (people_csv, "find e-mail", "GONE")
+    assert spark.read.parquet(row["output_path"]).where("ID = '1'").first()["Email"] == "GONE"
+
+
+def test_any_error_ends_the_run(spark, people_csv, places, monkeypatch):
+    monkeypatch.setattr("rulewright.plans.run.write_counted", lambda *_: 1 / 0)
+    request = RunRequest(people_csv, ["Email"], "find e-mail", replacement_value="x")
+    with pytest.raises(ZeroDivisionError):
+        run_request(spark, request, RuleSource(rule=known_rule("email")), **places)
+    rows = spark.read.parquet(places["ledger"])
+    assert latest_runs(rows).first()["error_type"] == "ZeroDivisionError" and rows.where("status = 'RUNNING'").count() == 1
 
 
 @pytest.mark.parametrize("change, word", [
@@ -130,7 +147,7 @@ def test_a_bad_request_is_recorded(spark, people_csv, places, change, word):
     base = {"source_key": people_csv, "target_columns": ["Email"], "natural_language": "find it", "replacement_value": "x"}
     row = run_request(spark, RunRequest(**{**base, **change}), RuleSource(rule=TextRule("a")), **places).first()
     assert row["status"] == "FAILED" and word in row["error_message"] and row["error_type"] == "RuleError"
-    assert spark.read.parquet(places["ledger"]).first()["status"] == "FAILED"
+    assert latest_runs(spark.read.parquet(places["ledger"])).first()["status"] == "FAILED"
 
 
 def test_an_unsafe_rule_is_refused_before_the_data_is_read(spark, people_csv, places):
@@ -143,7 +160,7 @@ def test_a_missing_source_is_recorded_and_raised(spark, places):
     request = RunRequest("/nowhere/at/all.csv", ["Email"], "find it", replacement_value="x")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         run_request(spark, request, RuleSource(rule=TextRule("a")), **places)
-    assert spark.read.parquet(places["ledger"]).first()["error_type"] == "AnalysisException"
+    assert latest_runs(spark.read.parquet(places["ledger"])).first()["error_type"] == "AnalysisException"
 
 
 def test_run_from_an_answer_then_from_memory(spark, people_csv, places):
@@ -169,7 +186,7 @@ def test_run_from_an_answer_then_from_memory(spark, people_csv, places):
     other = RunRequest(people_csv, ["Notes"], "something else", operation=MASK)
     third = run_request(spark, other, source, **places).first()
     assert third["status"] == "FAILED" and "no answer" in third["error_message"]
-    assert spark.read.parquet(places["ledger"]).count() == 3
+    assert latest_runs(spark.read.parquet(places["ledger"])).count() == 3
 
 
 def test_stream(spark, tmp_path):

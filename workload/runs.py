@@ -11,8 +11,10 @@ from rulewright.operators.ledger import (
     fail_stale,
     full_view,
     is_terminal,
+    latest_runs,
     list_page,
     run_metrics,
+    runs_after,
     stale_runs,
     status_counts,
     summary_view,
@@ -129,13 +131,12 @@ def runs_after_sweep(spark, sf_dir):
 
 @query(
     "runs_by_status",
-    f"""WITH {RUNS}, remaining AS (SELECT status FROM runs WHERE status <> 'CANCELLED')
-    SELECT s AS status, (SELECT count(*) FROM remaining WHERE status = s) AS runs
+    f"""WITH {RUNS}
+    SELECT s AS status, (SELECT count(*) FROM runs WHERE status = s) AS runs
     FROM (VALUES ('QUEUED'), ('RUNNING'), ('SUCCESS'), ('FAILED'), ('CANCELLED')) AS v(s)""",
 )
 def runs_by_status(spark, sf_dir):
-    """One state has no runs and is reported as zero."""
-    return status_counts(runs_of_orders(spark, sf_dir).where("status <> 'CANCELLED'"))
+    return status_counts(runs_of_orders(spark, sf_dir))
 
 
 @query(
@@ -161,6 +162,19 @@ def metrics_empty(spark, sf_dir):
     return run_metrics(runs_of_orders(spark, sf_dir).where("phase = 'phase none'"))
 
 
+@query(
+    "runs_after",
+    f"""WITH {RUNS}, place AS (SELECT id, created_at FROM runs ORDER BY created_at DESC, id DESC LIMIT 1 OFFSET 59)
+    SELECT id, status FROM runs WHERE (created_at, id) < (SELECT (created_at, id) FROM place)
+    ORDER BY created_at DESC, id DESC LIMIT 20""",
+)
+def runs_after_place(spark, sf_dir):
+    """The page after a run that was seen last; one page is the feature."""
+    runs = runs_of_orders(spark, sf_dir)
+    place = list_page(runs, page=3).orderBy("created_at", "id").first()
+    return runs_after(runs, F.lit(place["created_at"]), F.lit(place["id"])).select("id", "status")
+
+
 @query(
     "runs_list_page",
     f"""WITH {RUNS} SELECT id, status, epoch_us(created_at) AS created_us FROM runs
@@ -213,16 +227,16 @@ def run_states_live(spark, sf_dir):
 
 # ---------------------------------------------------------------- whole runs
 def people_csv(spark, sf_dir):
-    """Documents as CSV, one line each, every fifth text empty."""
+    """Documents as CSV, one line each."""
     docs = table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS ID",
-        r"CASE WHEN doc_id % 5 > 0 THEN regexp_replace(text, '[\\r\\n\\\\]', ' ') ELSE '' END AS Body",
+        r"regexp_replace(text, '[\\r\\n\\\\]', ' ') AS Body",
         "source AS Source",
     )
     return delimited(spark, docs, ",", ".csv")
 
 
-_BODY = r"nullif(CASE WHEN doc_id % 5 > 0 THEN regexp_replace(text, '[\r\n\\]', ' ', 'g') ELSE '' END, '')"
+_BODY = r"nullif(regexp_replace(text, '[\r\n\\]', ' ', 'g'), '')"
 
 
 @query(
@@ -326,6 +340,30 @@ def streamed_mask(spark, sf_dir):
     return counter(spark.read.parquet(f"{root}/out"))
 
 
+@query(
+    "second_run_is_remembered",
+    """SELECT n AS run, n = 2 AS llm_cached, 'SUCCESS' AS status, (SELECT count(*) FROM documents) AS total_rows, 2 AS transitions
+    FROM (VALUES (1), (2)) AS v(n)""",
+)
+def second_run_is_remembered(spark, sf_dir):
+    """The same request twice: the first takes a rule from an answer, the second from memory."""
+    root, source = scratch_path(spark, "runs"), people_csv(spark, sf_dir)
+    spark.createDataFrame([], "key string, rule struct<" + _RULE + ">, stored_at timestamp").write.parquet(f"{root}/memory")
+    asked = spark.createDataFrame([(MASK, "Mask the e-mail addresses")], "operation string, description string")
+    answer = F.to_json(F.struct(F.lit(EMAIL.mask[0]).alias("pattern"), F.lit(EMAIL.mask[1]).alias("replacement_template")))
+    answers = keyed(asked, "batch", "m-1").select("key", "operation", F.lit(1).alias("attempt"), answer.alias("answer"))
+    rules = RuleSource(answers=answers, provider="batch", model="m-1", memory_path=f"{root}/memory")
+    for n in (1, 2):
+        request = RunRequest(source, ["Body"], " mask the  E-mail addresses ", operation=MASK, id=str(n))
+        run_request(spark, request, rules, results=f"{root}/results", ledger=f"{root}/ledger")
+        rules.answers = answers.limit(0)
+    ledger = spark.read.parquet(f"{root}/ledger")
+    steps = ledger.groupBy("id").agg(F.count("*").cast("int").alias("transitions"))
+    return latest_runs(ledger).join(steps, "id").select(
+        F.col("id").cast("int").alias("run"), "llm_cached", "status", "total_rows", "transitions"
+    )
+
+
 @query("run_page", None)
 def run_page(spark, sf_dir):
     """First page of a finished run through its saved index.

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -33,7 +29,6 @@ from rulewright.sources.synthetic import (
     contacts,
     tickets,
 )
-from rulewright.sources.workbooks import parse_workbooks
 from rulewright.session import scratch_path
 from workload.registry import choose, derive, query, table, text
 from workload.rules import EMAIL, counter, found
@@ -86,46 +81,6 @@ def parquet_scan(spark, sf_dir):
     return read_table(spark, f"{sf_dir}/lineitem.parquet")
 
 
-@query(
-    "workbook_scan",
-    """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation,
-    c_mktsegment AS segment FROM customer""",
-)
-def workbook_scan(spark, sf_dir):
-    """Customers packed into workbooks, one per batch of rows, and read back as text."""
-
-    def workbook(pdf: pd.DataFrame) -> bytes:
-        """One batch of rows as a workbook with one sheet."""
-
-        def cell(value) -> str:
-            if isinstance(value, str):
-                return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
-            return f"<c><v>{value}</v></c>"
-
-        rows = [list(pdf.columns), *pdf.itertuples(index=False, name=None)]
-        lines = "".join(f"<row>{''.join(cell(v) for v in r)}</row>" for r in rows)
-        relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        parts = {
-            "xl/workbook.xml": f'<workbook xmlns:r="{relation}"><sheets><sheet name="All" r:id="r1"/></sheets></workbook>',
-            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
-            "xl/worksheets/s.xml": f"<worksheet><sheetData>{lines}</sheetData></worksheet>",
-        }
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-            for name, body in parts.items():
-                book.writestr(name, body)
-        return out.getvalue()
-
-    def pack(batches):
-        for batch in batches:
-            yield pd.DataFrame({"path": [str(batch["key"].iloc[0])], "content": [workbook(batch)]})
-
-    people = table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey AS key", "c_name AS name", "c_nationkey AS nation", "c_mktsegment AS segment"
-    )
-    return parse_workbooks(people.mapInPandas(pack, "path string, content binary"))
-
-
 # A listing with every kind of extension, folder markers and undated files.
 _NAMES = ["a.csv", "b.TSV", "c.xlsx", "d.parquet", "e.txt", "f.", "g", "h.XLS", "folder.csv/", "i.tar.csv"]
 LISTING = f"""concat('raw/', source, '/', CAST(doc_id AS {{text}}), '-', {choose(_NAMES, 'doc_id')}) AS path,
@@ -157,17 +112,16 @@ def file_catalogue(spark, sf_dir):
     FROM (SELECT {LISTING.format(text='VARCHAR')},
       CASE WHEN doc_id % 11 <> 0 THEN (doc_id * 7919) % 1000 END AS modified FROM documents)
     WHERE path NOT LIKE '%/'
-    AND lower(regexp_extract(path, '\\.[^.]*$')) IN ('.csv', '.tsv', '.xlsx', '.xls', '.parquet')
-    QUALIFY place <= 100""",
+    AND lower(regexp_extract(path, '\\.[^.]*$')) IN ('.csv', '.tsv', '.xlsx', '.xls', '.parquet')""",
 )
 def file_catalogue_order(spark, sf_dir):
-    """The first hundred of the catalogue with their places; undated files lead."""
+    """Every file of the catalogue with its place; undated files lead."""
     dated = """, CASE WHEN doc_id % 11 <> 0 THEN timestamp_seconds((doc_id * 7919) % 1000) END
     AS modificationTime"""
     listing = derive(table(spark, sf_dir, "documents"), LISTING.format(text="STRING") + dated)
-    top = catalogue(listing).limit(100).select("key", "last_modified")
+    ranked = catalogue(listing).select("key", "last_modified")
     newest = Window.orderBy(F.col("last_modified").desc_nulls_first(), F.col("key").desc())
-    return top.select("key", F.row_number().over(newest).cast("bigint").alias("place"))
+    return ranked.select("key", F.row_number().over(newest).cast("bigint").alias("place"))
 
 
 @query("file_listing")
