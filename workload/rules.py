@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulewright import (
@@ -17,10 +20,11 @@ from rulewright import (
     profile,
 )
 from rulewright.functions.text import column
+from rulewright.rule import REPLACE
 from rulewright.operators.results import affected_rows, invalid_rows, totals
 from rulewright.operators.rulebook import BY_NAME, CATALOGUE
 from rulewright.operators.transform import found_in, hide_internal
-from workload.registry import query, table, text
+from workload.registry import choose, derive, query, table, text
 
 EMAIL, PHONE, CARD = BY_NAME["email"], BY_NAME["phone"], BY_NAME["card"]
 IPV4, DIGITS, TAG, URL = BY_NAME["ipv4"], BY_NAME["digits"], BY_NAME["tag"], BY_NAME["url"]
@@ -417,6 +421,57 @@ def profile_conversations(spark, sf_dir):
     return profile(table(spark, sf_dir, "conversations"), catalogue_rules(), ["role", "text"])
 
 
+# A ticket per order: one form of every kind of data the catalogue knows, by the order's number.
+_FORMS = [
+    "concat('mail c', n, '@mail', m, '.example.org')", "concat('call +49 30 ', 1000 + m % 9000, ' ', 5000 + m % 5000)",
+    "concat('card 4000 ', 1000 + m % 9000, ' 5678 ', 1000 + n % 9000)", "concat(100 + m % 900, '-', 10 + m % 90, '-', 1000 + n % 9000)",
+    "concat('10.', m % 256, '.', n % 256, '.7')", "concat('https://h', m, '.example.net/p', n)",
+    "concat(left(md5(CAST(n AS {text})), 8), '-0000-4000-8000-', right(md5(CAST(n AS {text})), 12))",
+    "concat('2024-', 10 + m % 3, '-', 10 + n % 18)", "CAST(10000 + m % 90000 AS {text})", "concat('<b class=x>', n, '</b>')",
+    "concat('two  blanks ', n)", "CAST(n AS {text})", "concat('$', 1 + n % 9, '.50')", "concat('caf\u00e9 ', n)", "'plain words'",
+]
+_TICKETS = f"""o_orderkey AS id, {choose([f'@{i}' for i in range(len(_FORMS))], 'o_orderkey', lambda w: _FORMS[int(w[1:])])} AS body,
+    {choose([f'@{i}' for i in range(len(_FORMS))], 'o_custkey', lambda w: _FORMS[int(w[1:])])} AS note"""
+_VARIANTS = (REPLACE, MASK, EXTRACT, VALIDATE)
+
+
+def _tickets(kind: str) -> str:
+    return _TICKETS.replace("{text}", kind)
+
+
+def _variant_sql(operation: str) -> str:
+    parts = []
+    for known in CATALOGUE:
+        if operation == MASK and not known.mask:
+            continue
+        rule = known_rule(known.name, operation)
+        hits = [found(c, rule.pattern) if operation != VALIDATE else f"(1 - {found(c, rule.pattern)})" for c in ("body", "note")]
+        for cell, hit in zip(("body", "note"), hits):
+            parts.append(
+                f"SELECT '{operation}' AS operation, {text(known.name)} AS rule_id, '{cell}' AS column_name, "
+                f"CAST(sum({hit}) AS BIGINT) AS affected_cells, CAST(sum(greatest({hits[0]}, {hits[1]})) AS BIGINT) AS affected_rows FROM tickets"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "profile_tickets",
+    f"""WITH tickets AS (SELECT {_tickets('VARCHAR')} FROM (SELECT *, o_orderkey AS n, o_custkey AS m FROM orders))
+    {" UNION ALL ".join(_variant_sql(o) for o in _VARIANTS)}""",
+)
+def profile_tickets(spark, sf_dir):
+    """Every catalogue rule in every variant over cells that hold all the kinds of data they look for."""
+    orders = table(spark, sf_dir, "orders").selectExpr("*", "o_orderkey AS n", "o_custkey AS m")
+    tickets = derive(orders, _tickets("STRING"))
+    parts = [
+        profile(tickets, catalogue_rules(o), ["body", "note"]).select(
+            F.lit(o).alias("operation"), "rule_id", "column_name", "affected_cells", "affected_rows"
+        )
+        for o in _VARIANTS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _ONE = f"regexp_replace(text, {text(EMAIL.pattern)}, 'user 1', 'g')"
 _TWO = f"regexp_replace({_ONE}, {text(CARD.mask[0])}, '**** **** **** \\1', 'g')"
 
