@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import with_fields
+from rulewright.llm.common import free_name, with_fields
 
 # The white space stripped from lines and the letters lower-cased.
 BLANKS = " \t\n\x0b\f\r"
@@ -67,14 +67,15 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     n_dropped are replaced.  An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    owner, lost = free_name(docs, "__id"), free_name(docs, "__gone")
     gone = (
         _long_lines(docs, min_chars)
         .join(shared_lines(docs, min_chars, min_docs), ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__gone"))
+        .groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set("key").alias(lost))
     )
     names = docs.columns
-    marked = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*names, "__gone")
+    marked = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(owner)), "left").select(*names, lost)
     shape = with_fields(docs, n_lines="long", n_dropped="long")
     at = names.index("text")
 
