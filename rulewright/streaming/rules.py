@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rulewright.functions.text import column
-from rulewright.operators.results import ROWS_PER_FILE, Totals
+from rulewright.operators.results import ROWS_PER_FILE, Totals, totals
 from rulewright.operators.transform import COUNTER, apply_rule
 from rulewright.rule import TextRule
 
@@ -52,7 +52,14 @@ def apply_rule_stream(
     )
 
 
+def stream_totals(spark: SparkSession, output: str) -> Totals:
+    """Counts of everything a stream has written, from the counter column of its output."""
+    row = totals(spark.read.parquet(output)).first()
+    return Totals(row["total_rows"], row["matched_cells"])
+
+
 def batch_totals(query: StreamingQuery) -> list[Totals]:
-    """Counts of the latest batches, oldest first."""
+    """Counts of the latest batches, oldest first: those that Spark still remembers, 100
+    by default.  For a whole stream see stream_totals."""
     seen = [p.observedMetrics.get(OBSERVED) for p in query.recentProgress]
     return [Totals(m["rows"], m["matched"]) for m in seen if m is not None]
