@@ -14,14 +14,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import free_name, with_fields
+from rulewright.llm.common import free_name, stored, with_fields
 
 # The white space stripped from lines and the letters lower-cased.
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# The seed of Spark's xxhash64, and that after the literal of the second hash.
+SECOND = "second"
+FIRST_SEED = 42
+SECOND_SEED = xxhash.xxh64_intdigest(SECOND.encode(), FIRST_SEED)
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
@@ -34,7 +39,6 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     ``min_docs`` distinct doc_id hold: h1, h2 (its hash), keeper (largest doc_id)."""
     return (
         _long_lines(docs, min_chars)
-        .select("doc_id", "h1", "h2")
         .groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("docs") >= min_docs)
@@ -51,10 +55,26 @@ def _long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
         )
     )
     return docs.select("doc_id", F.explode(keys).alias("key")).select(
-        "doc_id", "key", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2")
+        "doc_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(SECOND), "key").alias("h2")
     )
 
 
+def key_hash(key: str) -> tuple[int, int]:
+    """h1 and h2 of a key, as the expressions above give them."""
+    body = key.encode()
+    return tuple(x - (x >> 63 << 64) for x in (xxhash.xxh64_intdigest(body, FIRST_SEED), xxhash.xxh64_intdigest(body, SECOND_SEED)))
+
+
+def remaining(lines: list[str], gone: set[tuple[int, int]], min_chars: int) -> list[str]:
+    """The lines whose key is short or not in ``gone``."""
+
+    def stays(line: str) -> bool:
+        key = line.strip(BLANKS).translate(TO_LOWER)
+        return len(key) < min_chars or key_hash(key) not in gone
+
+    return [line for line in lines if stays(line)]
+
+
 def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, with their shared lines taken out of ``text``,
     and n_lines (before), n_dropped.
@@ -68,11 +88,13 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     """
     docs = docs.drop("n_lines", "n_dropped")
     owner, lost = free_name(docs, "__id"), free_name(docs, "__gone")
+    # Written, so that the join reads both sides by shuffle and a very common line can be split.
+    shared = stored(shared_lines(docs, min_chars, min_docs), "shared-lines")
     gone = (
         _long_lines(docs, min_chars)
-        .join(shared_lines(docs, min_chars, min_docs), ["h1", "h2"])
+        .join(shared, ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set("key").alias(lost))
+        .groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set(F.struct("h1", "h2")).alias(lost))
     )
     names = docs.columns
     marked = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(owner)), "left").select(*names, lost)
@@ -84,10 +106,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
             texts, lines, dropped = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 parts = (text or "").split("\n")
-                kept = parts
-                if gone:
-                    gone = set(gone)
-                    kept = [p for p in parts if p.strip(BLANKS).translate(TO_LOWER) not in gone]
+                kept = remaining(parts, {(g["h1"], g["h2"]) for g in gone}, min_chars) if gone else parts
                 texts.append("\n".join(kept))
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(kept))
