@@ -11,9 +11,9 @@ Documents with equal sets are one node.  The aim is the components, so a list of
 that share a token is not expanded into pairs: every node is first compared with one
 pivot of its list, linked nodes become one component, and lists inside one component are
 done.  After ``ROUNDS`` rounds with other pivots, all nodes of different components that
-still share enough tokens are compared: they are put into blocks, by component where it
-is large, and two blocks are compared by one matrix product, so no link between
-components is missed and no pair is a row.
+share one of their rarest prefix tokens are compared: they are put into blocks, by
+component where it is large, and two blocks are compared by one matrix product, so no
+link between components is missed and no pair is a row.
 
 Tokens travel to their lists as packed arrays, one per task and bucket.  Sets are
 compared in a stream sorted by pivot or block, of which a task holds two at a time.
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rulewright.llm.common import stored
 from rulewright.llm.components import bipartite_roots, components
@@ -42,7 +43,8 @@ CHUNK = 1 << 20
 BUCKET_TOKENS = 4_000_000
 SALTS = 32
 #: Nodes of a block that are compared at once; a component of half as many has blocks of its own.
-BLOCK = 128
+BLOCK = 512
+COLUMNS = 8192
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -168,16 +170,29 @@ def shared_lists(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
     return dealt.repartition(buckets, "bucket").mapInArrow(gather, "token long, node long, n int")
 
 
+def _least_shared() -> Column:
+    """Prefix tokens that a node of n tokens shares with any similar one, of 0.8 n tokens at least."""
+    return (F.floor(F.ceil(F.col("n") * 4 / 5) / 10) + 1).cast("int")
+
+
 def worth_comparing(lists: DataFrame) -> DataFrame:
-    """``lists`` without nodes that share too few prefix tokens with all others together, whatever they are."""
-    for _ in range(2):
-        # A similar set has 0.8 n tokens at least.
-        least = F.floor(F.ceil(F.col("n") * 4 / 5) / 10) + 1
-        nodes = lists.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("node")
-        left = lists.join(nodes, "node")
-        several = left.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
-        lists = stored(left.join(several, "token").select("token", "node", "n"), "open-lists")
-    return lists
+    """``lists`` without nodes that share too few prefix tokens with all others together."""
+    nodes = lists.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= _least_shared()).select("node")
+    return stored(lists.join(nodes, "node"), "open-lists")
+
+
+def rarest(lists: DataFrame) -> DataFrame:
+    """``lists`` with the rarest tokens of each node only, so many that similar nodes still share one.
+
+    Of s tokens, k of which a similar node has, the first s - k + 1 in any common order will do.
+    """
+    common = lists.groupBy("token").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
+    sizes = lists.groupBy("node").agg(F.count("*").alias("s"))
+    return (
+        lists.join(common, "token").where("held > 1").withColumn("rank", rank).join(sizes, "node")
+        .where(F.col("rank") <= F.col("s") - _least_shared() + 1).select("token", "node", "n")
+    )
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,33 +280,40 @@ def blocks_of(grouped: DataFrame, clusters: DataFrame) -> DataFrame:
     return nodes.join(pools, "pool").select("node", "n", "comp", "owner", F.xxhash64("pool", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
 
 
-def block_pairs(grouped: DataFrame, blocks: DataFrame) -> DataFrame:
-    """left, right: blocks with nodes of different components, whose lists meet often enough for one link."""
-    facts = blocks.groupBy("block").agg(F.min("n").alias("least"), F.first("owner").alias("owner"), (F.min("comp") != F.max("comp")).alias("mixed"))
-    tokens = grouped.select("token", "node").join(blocks.select("node", "block"), "node").select("token", "block").distinct().join(facts, "block")
-    other = tokens.select("token", F.col("block").alias("right"), F.col("least").alias("other_least"), F.col("owner").alias("other_owner"))
+def block_pairs(rare: DataFrame, blocks: DataFrame) -> DataFrame:
+    """left, right: blocks with nodes of different components that share a token in ``rare`` lists."""
+    facts = blocks.groupBy("block").agg(F.first("owner").alias("owner"), (F.min("comp") != F.max("comp")).alias("mixed"))
+    tokens = rare.select("token", "node").join(blocks.select("node", "block"), "node").select("token", "block").distinct().join(facts, "block")
+    other = tokens.select("token", F.col("block").alias("right"), F.col("owner").alias("other_owner"))
     apart = F.when(F.col("block") == F.col("right"), F.col("mixed")).otherwise(~F.col("owner").eqNullSafe(F.col("other_owner")) | F.col("owner").isNull())
-    return (
-        tokens.join(other, "token").where((F.col("block") <= F.col("right")) & apart)
-        .groupBy(F.col("block").alias("left"), "right")
-        .agg((F.count("*") >= F.floor(F.min(F.least("least", "other_least")) / 10) + 1).alias("enough"))
-        .where("enough").select("left", "right")
-    )
+    pairs = tokens.join(other, "token").where((F.col("block") <= F.col("right")) & apart)
+    return pairs.select(F.col("block").alias("left"), "right").distinct()
 
 
 def _meets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of sorted sets."""
+    """Sizes of the intersections of sorted sets, worked out for ``COLUMNS`` tokens at a time."""
     both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
-
-    def rows(sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), len(both)), np.float32)
-        for k, s in enumerate(sets):
-            at = np.searchsorted(both, s)
-            at[at == len(both)] = 0
-            out[k, at[both[at] == s]] = 1
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
         return out
 
-    return rows(left) @ rows(right).T if len(both) else np.zeros((len(left), len(right)), np.float32)
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        tokens, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, tokens), len(both) - 1)
+        known = both[at] == tokens
+        order = np.argsort(at[known], kind="stable")
+        return rows[known][order], at[known][order]
+
+    sides = [(len(x), *places(x)) for x in (left, right)]
+    for first in range(0, len(both), COLUMNS):
+        parts = []
+        for n, rows, at in sides:
+            some = slice(*np.searchsorted(at, (first, first + COLUMNS)))
+            part = np.zeros((n, min(COLUMNS, len(both) - first)), np.float32)
+            part[rows[some], at[some] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
 
 
 def block_links(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -362,7 +384,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         roots = components(links)
     grouped = _with_component(lists, roots)
     blocks = stored(blocks_of(grouped, components(clusters)), "blocks")
-    last = stored(block_pairs(grouped, blocks), "block-pairs")
+    last = stored(block_pairs(rarest(lists), blocks), "block-pairs")
     roots = components(links.union(stored(block_links(last, blocks, sets, frequent), "found")))
     named = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component"))
     smallest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))

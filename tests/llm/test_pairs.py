@@ -38,6 +38,12 @@ def test_near_copies(spark, documents):
     assert rows_of(near_copies(table)) == brute.near_copies(rows)
 
 
+def test_near_copies_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr("rulewright.llm.jaccard_join.BLOCK", 4)
+    rows = list(enumerate(some_texts()))
+    assert rows_of(near_copies(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.near_copies(rows)
+
+
 def test_no_documents(spark):
     assert rows_of(near_copies(spark.createDataFrame([], "doc_id long, text string"))) == []
 
