@@ -30,6 +30,8 @@ LABELLED = 40_000
 #: N-grams that a document's importance stands for.
 LENGTH = 256
 BINS = 4096
+#: Bytes of text whose n-grams are held at once; each byte has three.
+SLICE = 1 << 19
 #: Added to every count.
 ADDED = 0.2
 PARTS = 6
@@ -37,7 +39,7 @@ PARTS = 6
 
 def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte n-grams inside each text, and the row of each."""
-    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    rows = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     found, where = [], []
     for n in GRAMS:
         size = len(data) - n + 1
@@ -47,7 +49,7 @@ def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = h * STEP + BYTE_CODES[data[k : size + k]]
         inside = rows[:size] == rows[n - 1 :]
-        found.append((mix(h[inside]) >> U64(44)).astype(np.int64))
+        found.append((mix(h[inside]) >> U64(44)).astype(np.int32))
         where.append(rows[:size][inside])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -75,7 +77,7 @@ def fit_ratio(labelled: DataFrame) -> np.ndarray:
         sums = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             good = np.array(batch.column("good").to_pylist(), bool)
-            for i, _, data, at in slices(batch.column("text")):
+            for i, _, data, at in slices(batch.column("text"), SLICE):
                 bucket, row = _grams(data, at)
                 sums[0] += np.bincount(bucket[good[i + row]], minlength=BUCKETS)
                 sums[1] += np.bincount(bucket, minlength=BUCKETS)
@@ -100,7 +102,7 @@ def with_importance(docs: DataFrame, ratio: np.ndarray, name: str = "importance"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, j, data, at in slices(batch.column(at_text)):
+            for i, j, data, at in slices(batch.column(at_text), SLICE):
                 bucket, row = _grams(data, at)
                 n = np.bincount(row, minlength=j - i)
                 out[i:j] = LENGTH * np.bincount(row, model.value[bucket], j - i) / np.maximum(n, 1)
