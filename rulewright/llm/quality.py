@@ -1,19 +1,20 @@
 """Quality classifier: importance resampling with hashed n-gram models.
 
-Two generative models over hashed byte n-grams are fitted on labelled documents, one
-on the target (good and not toxic), one on the raw mix of all labelled documents.  The
-log of their ratio is the importance of a document; the documents with the largest
+Two generative models over hashed byte n-grams are fitted, one on the target (labelled
+documents that are good and not toxic), one on the raw text of all documents.  The log
+of their ratio is the importance of a document; the documents with the largest
 importance plus Gumbel noise are the sample.  The importance is the mean per n-gram
 times a fixed length, so that long documents are not judged by their length.
 
 The model is a table of ``BUCKETS`` doubles whatever the corpus, so it is broadcast.
-Scoring is one pass without a shuffle; the k-th largest key is found by counting in
+Raw counts are one pass over the corpus: a table per task, added in pieces of ``PIECE``
+buckets.  Scoring is one pass without a shuffle; the k-th largest key is found by counting in
 ever narrower bins, of which the driver sees the counts only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from rulewright.llm.textbytes import BYTE_CODES, STEP, U64, mix, slices
 
 GRAMS = (4, 5, 6)
 BUCKETS = 1 << 20
-#: At most so many labelled documents are used, those with the smallest hash of their id.
+#: At most so many labelled documents make the target model and the cut, those with the
+#: smallest hash of their id; the raw model counts every document.
 LABELLED = 40_000
 #: N-grams that a document's importance stands for.
 LENGTH = 256
@@ -34,22 +36,24 @@ BINS = 4096
 SLICE = 1 << 19
 #: Added to every count.
 ADDED = 0.2
-PARTS = 6
+#: Buckets that are added in one row.
+PIECE = 1 << 10
 
 
 def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte n-grams inside each text, and the row of each."""
     rows = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    codes = BYTE_CODES[data]
     found, where = [], []
-    for n in GRAMS:
+    h = np.zeros(len(data), U64)
+    for n in range(1, min(max(GRAMS), len(data)) + 1):
         size = len(data) - n + 1
-        if size <= 0:
+        h = h[:size] * STEP + codes[n - 1 :]
+        if n not in GRAMS:
             continue
-        h = np.full(size, n, U64)
-        for k in range(n):
-            h = h * STEP + BYTE_CODES[data[k : size + k]]
         inside = rows[:size] == rows[n - 1 :]
-        found.append((mix(h[inside]) >> U64(44)).astype(np.int32))
+        seed = U64(n * pow(int(STEP), n, 1 << 64) % (1 << 64))
+        found.append((mix(h[inside] + seed) >> U64(44)).astype(np.int32))
         where.append(rows[:size][inside])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -70,27 +74,49 @@ def labelled_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def fit_ratio(labelled: DataFrame) -> np.ndarray:
-    """log(target share / raw share) per bucket from rows of (text, good)."""
+def gram_counts(docs: DataFrame) -> np.ndarray:
+    """How many n-grams of all texts of ``docs`` fall in each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums, any_row = np.zeros(BUCKETS, np.int64), False
         for batch in batches:
-            good = np.array(batch.column("good").to_pylist(), bool)
-            for i, _, data, at in slices(batch.column("text"), SLICE):
-                bucket, row = _grams(data, at)
-                sums[0] += np.bincount(bucket[good[i + row]], minlength=BUCKETS)
-                sums[1] += np.bincount(bucket, minlength=BUCKETS)
-        yield pa.RecordBatch.from_pydict({"sums": [sums.tobytes()]})
-
-    spread = labelled.select("text", "good").repartition(PARTS)
-    total = np.zeros((2, BUCKETS))
-    for row in spread.mapInArrow(count, "sums binary").toLocalIterator():
-        total += np.frombuffer(row.sums, np.int64).reshape(2, BUCKETS)
-    if not total[0].sum() or total[0].sum() == total[1].sum():
+            for _, _, data, at in slices(batch.column("text"), SLICE):
+                any_row = True
+                sums += np.bincount(_grams(data, at)[0], minlength=BUCKETS)
+        if any_row:
+            yield rows(enumerate(sums.reshape(-1, PIECE)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, value in zip(batch.column("part").to_pylist(), batch.column("sums")):
+                sums[part] = sums.get(part, 0) + whole(value.as_buffer())
+        if sums:
+            yield rows(sums.items())
+
+    def rows(sums: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        # In the fewest bytes that hold the largest count.
+        some = [(part, x.astype(np.min_scalar_type(x.max())).tobytes()) for part, x in sums if x.any()]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["part", "sums"])
+
+    def whole(value) -> np.ndarray:
+        return np.frombuffer(value, f"u{len(value) // PIECE}").astype(np.int64)
+
+    shape = "part int, sums binary"
+    total = np.zeros((BUCKETS // PIECE, PIECE), np.int64)
+    # One row per piece.
+    for row in docs.select("text").mapInArrow(count, shape).repartition("part").mapInArrow(add, shape).toLocalIterator():
+        total[row.part] = whole(row.sums)
+    return total.ravel()
+
+
+def fit_ratio(target: DataFrame, raw: DataFrame) -> np.ndarray:
+    """log(target share / raw share) per bucket of the texts of two tables; zeros without a target."""
+    counts = gram_counts(target)
+    if not counts.any():
         return np.zeros(BUCKETS)
-    total += ADDED
-    return np.log(total[0] / total[0].sum()) - np.log(total[1] / total[1].sum())
+    counts = np.stack([counts, gram_counts(raw)]) + ADDED
+    return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
 def with_importance(docs: DataFrame, ratio: np.ndarray, name: str = "importance") -> DataFrame:
@@ -165,7 +191,7 @@ def judge(docs: DataFrame, labels: DataFrame, seed: int = 8, clear: bool = False
     picked = stored(labelled_ids(labels), "labelled")
     # At most LABELLED rows, so the broadcast is bounded.
     labelled = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled-text")
-    ratio = fit_ratio(labelled.where("fold > 0"))
+    ratio = fit_ratio(labelled.where("fold > 0 AND good"), docs)
     held = with_importance(labelled.where("fold = 0").select("text", "good"), ratio).select("importance", "good").collect()
     cut = cut_point(np.array([r.importance for r in held]), np.array([r.good for r in held], bool))
     # The sign bit off, half a step up: a fraction strictly between 0 and 1.

@@ -179,6 +179,24 @@ def test_quality(spark, documents):
     assert same.columns == table.columns and same.count() == sum(r.kept for r in done)
 
 
+def test_quality_counts_raw_text_of_all_documents(spark):
+    rnd = np.random.default_rng(5)
+    text = lambda letters: " ".join("".join(rnd.choice(list(letters), 5)) for _ in range(60))
+    rows = [(i, text("abcdef" if i % 2 else "uvwxyz")) for i in range(200)]
+    # No labelled document holds an n-gram of these.
+    rows += [(i, text("hijklm")) for i in range(200, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    done = quality.judge(docs, labels).collect()
+    assert all(r.importance < 0 for r in done if r.doc_id >= 200)
+    kept = Counter((r.doc_id >= 200, r.doc_id % 2 == 1) for r in done if r.kept)
+    assert kept[False, True] > 90 and sum(kept.values()) - kept[False, True] < 10
+    counts = quality.gram_counts(docs)
+    assert counts.sum() == sum(len(t) - n + 1 for _, t in rows for n in quality.GRAMS)
+    alone = [quality.gram_counts(docs.where(f"doc_id % 3 = {k}")) for k in range(3)]
+    assert (sum(alone) == counts).all() and not quality.gram_counts(docs.limit(0)).any()
+
+
 @pytest.mark.parametrize("k", [1, 2, 37, 100, 5000, 5001, 9999, 10_000])
 def test_kth_largest(spark, k):
     keys = [math.sin(x) * 10 ** (x % 7) for x in range(9000)] + [3.25] * 1000
