@@ -138,7 +138,7 @@ def with_importance(docs: DataFrame, ratio: np.ndarray, name: str = "importance"
 
 
 def cut_point(importance: np.ndarray, good: np.ndarray) -> float:
-    """The importance that splits labelled rows best, both verdicts weighing the same."""
+    """The importance that splits labelled rows best, both verdicts weighing the same; -inf if no split gains."""
     if not good.any() or good.all():
         return -np.inf
     order = np.argsort(importance, kind="stable")
@@ -147,7 +147,8 @@ def cut_point(importance: np.ndarray, good: np.ndarray) -> float:
     caught = np.cumsum(~g) / (~g).sum()
     gain = np.where(np.append(x[1:] > x[:-1], True), caught - 2 * lost, -np.inf)
     best = int(np.argmax(gain))
-    return float("inf") if best == len(x) - 1 else float((x[best] + x[best + 1]) / 2)
+    # Past the last row all good ones are lost, so that a split that gains has a row after it.
+    return float((x[best] + x[best + 1]) / 2) if gain[best] > 0 else -np.inf
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -181,8 +182,9 @@ def judge(docs: DataFrame, labels: DataFrame, seed: int = 8, clear: bool = False
     labelled documents held out from the fit (losing a good one costs twice a bad one);
     they are those with the largest keys, and rows with equal keys share a fate.  Noise
     depends on doc_id and ``seed``; rows without doc_id share one noise.  NULL and empty
-    texts have importance 0.  Without labels of both verdicts all rows are kept.  Columns
-    of ``docs`` with these three names are replaced.  ``clear`` returns the kept rows with
+    texts have importance 0.  All rows are kept without labels of both verdicts, in the fit
+    and held out, and if no cut catches more of the bad than twice the share of the good it
+    loses.  Columns of ``docs`` with these three names are replaced.  ``clear`` returns the kept rows with
     the columns they came with.  An empty table gives no rows.
     """
     added = [free_name(docs, "__" + c) for c in ("importance", "key")] if clear else ["importance", "key"]
@@ -193,7 +195,8 @@ def judge(docs: DataFrame, labels: DataFrame, seed: int = 8, clear: bool = False
     labelled = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled-text")
     ratio = fit_ratio(labelled.where("fold > 0 AND good"), docs)
     held = with_importance(labelled.where("fold = 0").select("text", "good"), ratio).select("importance", "good").collect()
-    cut = cut_point(np.array([r.importance for r in held]), np.array([r.good for r in held], bool))
+    both = labelled.where("fold > 0").agg(F.count_distinct("good")).first()[0] == 2
+    cut = cut_point(np.array([r.importance for r in held]), np.array([r.good for r in held], bool)) if both else -np.inf
     # The sign bit off, half a step up: a fraction strictly between 0 and 1.
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
     scored = with_importance(docs, ratio, named).withColumn(key, F.col(named) - F.log(-F.log(uniform)))

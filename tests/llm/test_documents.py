@@ -197,6 +197,30 @@ def test_quality_counts_raw_text_of_all_documents(spark):
     assert (sum(alone) == counts).all() and not quality.gram_counts(docs.limit(0)).any()
 
 
+@pytest.mark.parametrize("rare", [0, 1])
+def test_quality_keeps_all_when_the_fit_has_one_verdict(spark, documents, rare):
+    ids = sorted(r.doc_id for r in documents.select("doc_id").collect())
+    only = next(i for i in ids if zlib.crc32(str(i).encode()) % 5 == 0)
+    labels = spark.createDataFrame([(i, rare if i == only else 1 - rare, 0) for i in ids], "doc_id long, quality int, toxic int")
+    done = quality.judge(documents.select("doc_id", "text"), labels).collect()
+    assert len(done) == len(ids) and all(r.kept for r in done)
+
+
+@pytest.mark.parametrize(
+    "importance, good, cut",
+    [
+        ([0, 0, 0], [True, False, True], -np.inf),
+        ([1, 2], [True, False], -np.inf),
+        ([1, 2, 3, 4], [True, False, False, True], -np.inf),
+        ([1, 2, 3], [True, True, True], -np.inf),
+        ([1, 3, 2, 6], [False, False, False, True], 4.5),
+        ([1, 2, 3, 4], [False, False, True, False], 2.5),
+    ],
+)
+def test_cut_point_gains_or_keeps_all(importance, good, cut):
+    assert quality.cut_point(np.array(importance, float), np.array(good)) == cut
+
+
 @pytest.mark.parametrize("k", [1, 2, 37, 100, 5000, 5001, 9999, 10_000])
 def test_kth_largest(spark, k):
     keys = [math.sin(x) * 10 ** (x % 7) for x in range(9000)] + [3.25] * 1000
