@@ -10,8 +10,8 @@ distributed.
   in it.
 * Each block's vocabulary meets the others' by class: counts are summed there, and every
   block gets back the corpus counts of its own words.
-* Baum-Welch: every round, tasks work out expected counts over all training tokens, in
-  segments of ``SEGMENT`` tokens; the sums meet in slices of the class table.
+* Baum-Welch: every round, tasks work out expected counts over all whole training
+  documents, in lots of like length; the sums meet in slices of the class table.
 * The scaled forward recursion gives the exact probability of each whole document.
 """
 
@@ -32,7 +32,8 @@ from rulewright.llm.textbytes import LOWER, U64, mix, slices, span_hashes, word_
 STATES = 8
 CLASSES = 1 << 14
 ROUNDS = 6
-SEGMENT = 64
+#: Tokens whose probabilities are held at once; a longer document is worked out in pieces.
+LOT = 1 << 19
 BLOCK_BYTES = 1 << 23
 ADDED = 0.1
 PARTS = 64
@@ -190,45 +191,57 @@ def forward(model: Model, kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def expected(model: Model, kinds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions over sequences of up to ``SEGMENT`` tokens."""
+    """Expected counts of starts, moves and emissions over whole sequences of ``sizes`` tokens.
+
+    Of a sequence above ``LOT`` tokens the forward pass keeps what enters each piece; the
+    backward pass works the piece out again, so that every move counts.
+    """
     start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
     offsets = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
-    for lot in range(0, len(order), 4096):
-        mine = order[lot : lot + 4096]
-        at, falling, longest = offsets[mine], -sizes[mine], int(sizes[mine[0]])
-        live = [int(np.searchsorted(falling, -t, "left")) for t in range(longest)]
-        seen = [kinds[at[:n] + t] for t, n in enumerate(live)]
-        alphas, scales = [], []
-        for t, n in enumerate(live):
-            alpha = (alphas[-1][:n] @ model.move if t else np.tile(model.start, (n, 1))) * model.emit[seen[t]]
-            scales.append(alpha.sum(axis=1, keepdims=True))
-            alphas.append(alpha / scales[-1])
-        gammas = [np.zeros(0)] * longest
-        beta = np.ones((live[-1], STATES))
-        for t in range(longest - 1, -1, -1):
-            if t < longest - 1:
-                ahead = model.emit[seen[t + 1]] * beta / scales[t + 1]
-                n = live[t + 1]
+    until = np.cumsum(sizes[order])
+    lot = 0
+    while lot < len(order):
+        mine = order[lot : max(lot + 1, int(np.searchsorted(until, LOT + (until[lot - 1] if lot else 0), "right")))]
+        lot += len(mine)
+        at, longest = offsets[mine], int(sizes[mine[0]])
+        live = np.searchsorted(-sizes[mine], -np.arange(longest), "left")
+
+        def ahead_of(first: int, alpha: np.ndarray) -> tuple[list, list, list]:
+            """Classes, forward probabilities and scales of a piece; ``alpha`` is the step before it."""
+            seen, alphas, scales = [], [], []
+            for t in range(first, min(first + LOT, longest)):
+                n = live[t]
+                seen.append(kinds[at[:n] + t])
+                alpha = (alpha[:n] @ model.move if t else np.tile(model.start, (n, 1))) * model.emit[seen[-1]]
+                scales.append(alpha.sum(axis=1, keepdims=True))
+                alpha = alpha / scales[-1]
+                alphas.append(alpha)
+            return seen, alphas, scales
+
+        pieces, enters, piece = range(0, longest, LOT), [np.zeros((0, STATES))], ([], [], [])
+        for first in pieces:
+            piece = ahead_of(first, enters[-1])
+            enters.append(piece[1][-1])
+        ahead = np.zeros((0, STATES))
+        for number in range(len(pieces) - 1, -1, -1):
+            first = pieces[number]
+            seen, alphas, scales = piece if number == len(pieces) - 1 else ahead_of(first, enters[number])
+            gammas = [np.zeros(0)] * len(seen)
+            for t in range(len(seen) - 1, -1, -1):
+                n = len(ahead)
                 move += model.move * (alphas[t][:n].T @ ahead)
-                beta = np.ones((live[t], STATES))
+                beta = np.ones((len(alphas[t]), STATES))
                 beta[:n] = ahead @ model.move.T
-            gammas[t] = alphas[t] * beta
+                gammas[t] = alphas[t] * beta
+                ahead = model.emit[seen[t]] * beta / scales[t]
+            where, weight = np.concatenate(seen), np.concatenate(gammas)
+            for k in range(STATES):
+                emit[:, k] += np.bincount(where, weight[:, k], CLASSES)
         start += gammas[0].sum(axis=0)
-        where, weight = np.concatenate(seen), np.concatenate(gammas)
-        for k in range(STATES):
-            emit[:, k] += np.bincount(where, weight[:, k], CLASSES)
     return start, move, emit
 
 
-def segments(sizes: np.ndarray) -> np.ndarray:
-    """Sizes of the segments that sequences of ``sizes`` tokens are cut into."""
-    n = -(-sizes // SEGMENT)
-    out = np.full(int(n.sum()), SEGMENT, np.int64)
-    out[np.cumsum(n) - 1] = sizes - (n - 1) * SEGMENT
-    return out
-
-
 def round_of(kept: DataFrame, model: Model) -> Model:
     """One Baum-Welch round over all training tokens."""
     known = kept.sparkSession.sparkContext.broadcast(model)
@@ -242,7 +255,7 @@ def round_of(kept: DataFrame, model: Model) -> Model:
                 train = ~np.array(batch.column("held")[k].as_py(), bool)
                 if train.any():
                     any_row = True
-                    found = expected(known.value, kinds[places[np.repeat(train, sizes)]], segments(sizes[train]))
+                    found = expected(known.value, kinds[places[np.repeat(train, sizes)]], sizes[train])
                     start, move, emit = start + found[0], move + found[1], emit + found[2]
         if any_row:
             parts = [*(emit[p * width : (p + 1) * width].tobytes() for p in range(PARTS)), np.concatenate([start, move.ravel()]).tobytes()]

@@ -147,6 +147,40 @@ def test_forward_and_expected_counts_by_enumeration():
         assert np.allclose(got, want)
 
 
+def test_hmm_learns_from_whole_documents(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    rows = [(i, " ".join(rnd.choice(["a", "bb", "ccc", "dddd", "longer"], n))) for i, n in enumerate([200, 64, 65, 1, 130]) if zlib.crc32(str(i).encode()) % 10]
+    kept = hmm.blocks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 4)
+    model = hmm.Model.first(rnd.random(hmm.CLASSES))
+    whole = kept.first()
+    sizes, places, classes = np.frombuffer(whole.sizes, np.int64), np.frombuffer(whole.places, np.int32), np.frombuffer(whole.classes, np.int32)
+    kinds = classes[places]
+    start, moves, emits = np.zeros(hmm.STATES), np.zeros((hmm.STATES,) * 2), np.zeros((hmm.CLASSES, hmm.STATES))
+    for ks in np.split(kinds, np.cumsum(sizes)[:-1]):
+        alphas, betas = [model.start * model.emit[ks[0]]], [np.ones(hmm.STATES)]
+        for k in ks[1:]:
+            alphas.append(alphas[-1] @ model.move * model.emit[k])
+            alphas[-1] /= alphas[-1].sum()
+        for k in ks[:0:-1]:
+            betas.insert(0, model.move @ (model.emit[k] * betas[0]))
+            betas[0] /= betas[0].sum()
+        gammas = [a * b / (a * b).sum() for a, b in zip(alphas, betas)]
+        start += gammas[0]
+        for a, b, k in zip(alphas, betas[1:], ks[1:]):
+            both = a[:, None] * model.move * (model.emit[k] * b)
+            moves += both / both.sum()
+        for k, g in zip(ks, gammas):
+            emits[k] += g
+    assert np.isclose(moves.sum(), sizes.sum() - len(sizes)) and sizes.max() > 64
+    for lot in (hmm.LOT, 7, 64, 201):
+        monkeypatch.setattr(hmm, "LOT", lot)
+        for got, want in zip(hmm.expected(model, kinds, sizes), (start, moves, emits)):
+            assert np.allclose(got, want)
+    monkeypatch.undo()
+    got, want = hmm.round_of(kept, model), hmm.Model.of_counts(start, moves, emits)
+    assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit)
+
+
 def test_contamination(spark, documents):
     items = [(1, "one two three four five six seven eight nine ten"), (2, None), (3, ""), (4, "a b"), (4, "a b"), (5, documents.first().text), (None, "q w e r t y")]
     rows = [(r.doc_id, r.text) for r in documents.collect()] + ODD
