@@ -35,6 +35,18 @@ def test_query(spark, duck, name):
     assert got[2] == want[2]
 
 
+def test_catalogue_order_numbers_ranges(spark, duck):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = queries()["file_catalogue_order"](spark, ENTRY_DIR)
+        got = sorted((r.place, r.key) for r in frame.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted((p, k) for k, p in duck.sql(oracle_sql()["file_catalogue_order"]).fetchall())
+    assert len(frame.inputFiles()) > 1
+    assert "row_number" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     frame = entry(spark)
     assert frame.columns == ["doc_id", "text", "matched"] and frame.count() > 0

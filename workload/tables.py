@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rulewright import VALIDATE, TextRule, apply_rule, known_rule, list_files, page_index, read_page, read_table
@@ -120,8 +119,13 @@ def file_catalogue_order(spark, sf_dir):
     AS modificationTime"""
     listing = derive(table(spark, sf_dir, "documents"), LISTING.format(text="STRING") + dated)
     ranked = catalogue(listing).select("key", "last_modified")
-    newest = Window.orderBy(F.col("last_modified").desc_nulls_first(), F.col("key").desc())
-    return ranked.select("key", F.row_number().over(newest).cast("bigint").alias("place"))
+    newest = [F.col("last_modified").desc_nulls_first(), F.col("key").desc()]
+    path = scratch_path(spark, "catalogue-order")
+    # A file per range, in order: a place is the rows of the files before and the row in the file.
+    ranked.select("key", "last_modified").repartitionByRange(*newest).sortWithinPartitions(*newest).write.parquet(path)
+    rows = spark.read.parquet(path).select("key", "_metadata.row_index", F.col("_metadata.file_path").alias("path"))
+    place = (F.col("start") + F.col("row_index") + 1).cast("bigint")
+    return rows.join(page_index(spark, path), "path").select("key", place.alias("place"))
 
 
 @query("file_listing")
