@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from rulewright.functions.text import column
 from rulewright.operators.transform import visible
 
-# Page sizes, and writing tasks per group of the running sum.
+# Page sizes, writing tasks per group of the running sum, and groups of
+# files whose names have no task number.
 PAGE_SIZE = 50
 PAGE_SIZE_CEILING = 500
 TASKS_PER_LOT = 1000
+UNNAMED_LOTS = 256
 #: Rows of a bucket in which pages and files meet; see operators.results for the rows of a file.
 BUCKET_ROWS = 100_000
 
@@ -29,8 +31,9 @@ def running_start(files: DataFrame) -> DataFrame:
     """Exclusive running row count of files (path, rows) in writing order.
 
     Order is by the task and file numbers in the name, as numbers, then by path.
-    The sum is taken in two levels, inside lots of tasks and over the lots, so no
-    task sees the whole list.
+    The sum is taken in two levels, inside lots and over the lots, so no task sees the
+    whole list.  Lots are ranges of tasks; files without a task number come first, in
+    lots that are ranges of their order.
     """
     number = "try_cast(nullif(regexp_extract(path, '{}', 1), '') as bigint)"
     named = files.where("rows > 0").select(
@@ -38,7 +41,8 @@ def running_start(files: DataFrame) -> DataFrame:
         "rows",
         F.expr(number.format("part-([0-9]+)[^/]*$")).alias("task"),
         F.expr(number.format("-c([0-9]+)[^/]*$")).alias("piece"),
-    ).withColumn("lot", F.coalesce(F.floor(F.col("task") / TASKS_PER_LOT), F.lit(-1)))
+    )
+    named = _with_lot(named)
 
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     inside = before(Window.partitionBy("lot").orderBy("task", "piece", "path"))
@@ -53,6 +57,19 @@ def running_start(files: DataFrame) -> DataFrame:
     )
 
 
+def _with_lot(named: DataFrame) -> DataFrame:
+    """``named`` with ``lot``: below 0 for files without a task number, from 0 for the others."""
+    spot = F.struct(F.coalesce("piece", F.lit(-1)).alias("piece"), "path")
+    # One file by chance of each hash bucket: the borders follow the files' own spread.
+    drawn = named.where("task IS NULL").groupBy(F.pmod(F.xxhash64("path"), F.lit(UNNAMED_LOTS)).alias("bucket"))
+    borders = drawn.agg(F.min_by(spot, F.struct(F.xxhash64(F.lit(1), "path"), "path")).alias("border"))
+    borders = borders.agg(F.collect_list("border").alias("borders"))
+    passed = F.size(F.filter("borders", lambda border: border <= spot))
+    unnamed = F.when(F.col("task").isNull(), passed - (UNNAMED_LOTS + 1)).cast("bigint")
+    lot = F.coalesce(F.floor(F.col("task") / TASKS_PER_LOT), unnamed)
+    return named.crossJoin(F.broadcast(borders)).withColumn("lot", lot).drop("borders")
+
+
 def page_index(spark: SparkSession, uri: str) -> DataFrame:
     """One row per non-empty file: path, rows, start.  Only footers are read."""
     try:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rulewright import TextRule, apply_rule, apply_rules, column_counts, count_matches, known_rule, page_index, profile
 from rulewright import read_page, write_counted, write_result
+from rulewright.operators import paging
 from rulewright.operators.paging import (
     clamp_page_size,
     page_envelope,
@@ -98,6 +99,22 @@ def test_file_numbers_order_as_numbers(spark):
     assert got == [names[1], names[0], names[2], names[4], names[3]]
 
 
+def test_unnamed_files_meet_in_lots(spark):
+    names = [f"/r/{i * 7919 % 3001:04d}{'-c' + str(i % 3) if i % 5 == 0 else ''}.parquet" for i in range(3000)]
+    piece = lambda n: int(n.split("-c")[1].split(".")[0]) if "-c" in n else -1
+    named = [f"/r/part-{i:05d}-c000.parquet" for i in (0, 999, 1000)]
+    files = [(n, 1 + i % 4) for i, n in enumerate(names + named)]
+    table = spark.createDataFrame(files, "path string, rows bigint").repartition(3)
+    rows, start, want = dict(files), 0, []
+    for n in sorted(names, key=lambda n: (piece(n), n)) + named:
+        want.append((n, rows[n], start))
+        start += rows[n]
+    assert [tuple(r) for r in running_start(table).orderBy("start").collect()] == want
+    numbered = table.selectExpr("path", "rows", "CAST(NULL AS BIGINT) AS task", "CAST(nullif(regexp_extract(path, '-c([0-9]+)', 1), '') AS BIGINT) AS piece")
+    lots = [r["count"] for r in paging._with_lot(numbered).groupBy("lot").count().collect()]
+    assert sum(lots) == len(files) and max(lots) < 150
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     sizes=st.lists(st.integers(0, 40), min_size=1, max_size=12),
