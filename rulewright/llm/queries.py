@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import decontaminate, grid_join, hmm, jaccard_join, line_dedup, packing, quality, shards, suffix_dedup, url_filter
+from rulewright.llm import decontaminate, grid_join, hmm, jaccard_join, line_dedup, packing, quality, shards, suffix_dedup, url_filter, vector_codes
 from rulewright.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -120,3 +120,40 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"pipeline": pipeline}
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+_NEAREST = """
+a{k} AS (
+  SELECT r, p, any_value(x) AS x, min(d * 64 + e) % 64 AS e, min(d) AS d FROM (
+    SELECT r, p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::HUGEINT AS d
+    FROM parts JOIN b{k} USING (p)) GROUP BY r, p),"""
+_UPDATE = """
+s{k} AS (
+  SELECT p, e, i, sum(v) AS s, count(*) AS n
+  FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY p, e, i),
+u{k} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS u FROM s{k} GROUP BY p, e),
+b{next} AS (SELECT p, e, coalesce(u, c) AS c FROM b{k} LEFT JOIN u{k} USING (p, e)),"""
+
+QUERIES |= {"op12_vector_codes": op12_vector_codes}
+SQL |= {
+    "op12_vector_codes": f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept, range(16) AS t(p)),
+firsts AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+b0 AS (SELECT p, e, x AS c FROM parts JOIN firsts USING (r)),
+{_NEAREST.format(k=0)}{_UPDATE.format(k=0, next=1)}{_NEAREST.format(k=1)}{_UPDATE.format(k=1, next=2)}{_NEAREST.format(k=2)}
+books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b2)),
+coded AS (SELECT r, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books""",
+}
