@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import decontaminate, grid_join, hmm, jaccard_join, line_dedup, packing, quality, shards, suffix_dedup, url_filter, vector_codes
+from rulewright.llm import alignment, decontaminate, grid_join, hmm, jaccard_join, line_dedup, packing, quality, shards, suffix_dedup, url_filter, vector_codes
 from rulewright.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,3 +157,11 @@ coded AS (SELECT r, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS cod
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
 FROM kept JOIN coded USING (r), books""",
 }
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
+QUERIES |= {"op13_alignment": op13_alignment}
