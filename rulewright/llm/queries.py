@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import alignment, decontaminate, grid_join, hmm, jaccard_join, line_dedup, packing, quality, shards, suffix_dedup, url_filter, vector_codes
+from rulewright.llm import alignment, decontaminate, grid_join, hmm, jaccard_join, line_dedup, packing, quality, secret_scan, shards, suffix_dedup, url_filter, vector_codes
 from rulewright.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -165,3 +165,10 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op13_alignment": op13_alignment}
+
+
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op11_secrets": op11_secrets}
