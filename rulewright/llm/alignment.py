@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,8 @@ class Vocabularies:
             if not (self.b.is_control(i) or self.b.is_unknown(i)):
                 known.setdefault(self.bytes_b[i], i)
         self.same = np.array([known.get(x, -1) if x else -1 for x in self.bytes_a], np.int64)
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.written = {sign: np.array([f"{i}{sign}" for i in range(most)], object) for sign in ",|;"}
         self.forget()
 
     def _piece(self, i: int) -> bytes:
@@ -98,13 +101,19 @@ class Vocabularies:
         ids_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
         odd = np.zeros(len(parts), bool)
-        for k, part in enumerate(parts):
-            if b"".join(map(self.bytes_a.__getitem__, ids_a[k])) != part or b"".join(map(self.bytes_b.__getitem__, ids_b[k])) != part:
-                odd[k], ids_a[k], ids_b[k] = True, [], []
+        lengths, body = np.fromiter(map(len, parts), np.int64, len(parts)), b"".join(parts)
+        for ids, spelled, sizes in ((ids_a, self.bytes_a, self.sizes_a), (ids_b, self.bytes_b, self.sizes_b)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = list(chain.from_iterable(ids))
+            spelt = np.append(0, np.cumsum(sizes[np.array(flat, np.int64)]))[np.append(0, np.cumsum(n))]
+            if (np.diff(spelt) != lengths).any() or b"".join(map(spelled.__getitem__, flat)) != body:
+                odd |= np.array([b"".join(map(spelled.__getitem__, x)) != p for p, x in zip(parts, ids)], bool)
+        for k in np.flatnonzero(odd).tolist():
+            ids_a[k], ids_b[k] = [], []
         sides = []
         for ids, sizes in ((ids_a, self.sizes_a), (ids_b, self.sizes_b)):
-            n = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.array(list(chain.from_iterable(ids)), np.int64)
             ends = np.cumsum(sizes[flat])
             sides.append((flat, ends, ends - sizes[flat], np.repeat(np.arange(len(parts)), n), n))
         (a, end_a, start_a, of_a, n_a), (b, end_b, start_b, _, n_b) = sides
@@ -133,13 +142,16 @@ class Vocabularies:
 
     def _written(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, of_group: np.ndarray, parts: int) -> list[str]:
         """a1,a2|b1;... of the groups of each part."""
-        edges_a, edges_b = (np.searchsorted(g, np.arange(len(of_group) + 1)).tolist() for g in (group_a, group_b))
-        text_a, text_b = [*map(str, a.tolist())], [*map(str, b.tolist())]
-        written = [
-            ",".join(text_a[edges_a[g] : edges_a[g + 1]]) + "|" + ",".join(text_b[edges_b[g] : edges_b[g + 1]]) for g in range(len(of_group))
-        ]
-        edges = np.searchsorted(of_group, np.arange(parts + 1)).tolist()
-        return [";".join(written[x:y]) for x, y in zip(edges[:-1], edges[1:])]
+        # Each id is followed by a comma inside its side of a group, else by the sign after that side.
+        sides = []
+        for ids, group, sign in ((a, group_a, "|"), (b, group_b, ";")):
+            inside = np.append(group[1:] == group[:-1], False) if len(ids) else np.zeros(0, bool)
+            sides.append(np.where(inside, self.written[","][ids], self.written[sign][ids]))
+        group = np.concatenate([group_a, group_b])
+        order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), group))
+        pieces = np.concatenate(sides)[order].tolist()
+        edges = np.searchsorted(of_group[group[order]], np.arange(parts + 1)).tolist()
+        return ["".join(pieces[x:y])[:-1] for x, y in zip(edges[:-1], edges[1:])]
 
     def places(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which known part each part of a slice of texts is, and where each text's parts begin (with the end)."""
