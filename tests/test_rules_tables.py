@@ -104,7 +104,10 @@ def test_template_without_reference_is_a_warning(spark):
 
 def test_a_hint_is_held_against_the_examples(spark):
     assert verdict(spark, TextRule(r"\d+", requires=("@",), should_match=("12",)))["reason"] == "requires-contradicted"
-    assert verdict(spark, TextRule(r"\d+", requires=("1", "2"), should_match=("12",)))["accepted"]
+    assert verdict(spark, TextRule(r"\d+", requires=("1", "2"), should_match=("12",)))["reason"] == "requires-unproved"
+    assert verdict(spark, TextRule(r"\d+", requires=("@",)))["reason"] == "requires-unproved"
+    assert verdict(spark, TextRule(r"\d+", requires=("@",), case_insensitive=True))["accepted"]
+    assert verdict(spark, TextRule(r"\d+", requires=tuple("0123456789"), should_match=("12",)))["accepted"]
 
 
 @pytest.mark.parametrize("group, fine", [(0, True), (2, True), (5, False), (-1, False)])

@@ -20,9 +20,10 @@ from rulewright import (
     profile,
 )
 from rulewright.functions.text import column
-from rulewright.rule import REPLACE
+from rulewright.rule import REPLACE, rules_table
 from rulewright.operators.results import affected_rows, invalid_rows, totals
 from rulewright.operators.rulebook import BY_NAME, CATALOGUE
+from rulewright.operators.shape import derive_hints
 from rulewright.operators.transform import found_in, hide_internal
 from workload.registry import choose, derive, query, table, text
 
@@ -416,6 +417,14 @@ def profile_pages(spark, sf_dir):
     return profile(table(spark, sf_dir, "pages"), catalogue_rules(), ["url", "html"])
 
 
+@query("profile_derived_hints", _profile_sql("documents", ["text"]))
+def profile_derived_hints(spark, sf_dir):
+    """Catalogue rules whose literals come from the patterns alone; the counts are those without any."""
+    bare = rules_table(spark, catalogue_rules()).drop("requires")
+    rules = [TextRule.from_row(r) for r in derive_hints(bare).collect()]
+    return profile(table(spark, sf_dir, "documents"), rules, ["text"])
+
+
 @query("profile_conversations", _profile_sql("conversations", ["role", "text"]))
 def profile_conversations(spark, sf_dir):
     return profile(table(spark, sf_dir, "conversations"), catalogue_rules(), ["role", "text"])

@@ -50,6 +50,11 @@ SHAPES = [
     r"\(not a group\)[(]?",
     r"(?<word>[A-Z])[a-z]+",
     r"BRAND",
+    r"((a+)b?)*$",
+    r"(?:a|aa)+$",
+    r"(?:foo|bar)+x",
+    r"(?:(?:\d+)-)+",
+    r"(?:(?:ab|c)d+){2,}",
 ]
 OPS = ["REPLACE", "MASK", "EXTRACT", "VALIDATE"]
 TEMPLATES = ["$1-x", "$3", "plain", "", r"\$9 $1", "$2 and $1"]
@@ -75,7 +80,36 @@ def rules_of_parts(spark, sf_dir):
 
 _JAVA = r"""regexp_replace(replace(pattern, '(?P<', '(?<'), '\(\?P=(\w+)\)', '\\k<\1>', 'g')"""
 _BARE = r"""regexp_replace(regexp_replace(java, '\\.', '_', 'g'), '\[[^\]]*\]', '_', 'g')"""
-_COUNT = r"""len(regexp_extract_all(bare, '\([^?]|\(\?<[a-zA-Z]'))"""
+_COUNT = r"""len(regexp_extract_all(bare, '\(')) - len(regexp_extract_all(bare, '\(\?'))
+  + len(regexp_extract_all(bare, '\(\?<[a-zA-Z]'))"""
+# Structure in SQL: items become m, n, o or L (must or may match; may, must with a loop at the end),
+# then the innermost groups become items, round by round.
+_INNER = r"\((?:[mLno|]*\|)?{}(?:\|[mLno|]*)?\)"
+_LOOSE, _BLANK = _INNER.format("[mLno]*[Lo][no]*"), _INNER.format("[no]*")
+
+
+def _items(bare: str) -> str:
+    plain = rf"regexp_replace(regexp_replace({bare}, '[\^$]', '', 'g'), '\(\?(?::|<[A-Za-z]\w*>)', '(', 'g')"
+    counted = rf"regexp_replace(regexp_replace({plain}, '\{{\d+,\}}', '+', 'g'), '\{{\d+(?:,\d+)?\}}', '', 'g')"
+    return rf"replace(replace(replace(regexp_replace({counted}, '[^()|*+?]', 'm', 'g'), 'm*', 'o'), 'm+', 'L'), 'm?', 'n')"
+
+
+def _collapsed(items: str) -> str:
+    out = items
+    for shape, item in (
+        (r"\([mLno|]*\)\*", "o"), (r"\([mLno|]*\)\+", "L"), (_LOOSE + r"\?", "o"), (r"\([mLno|]*\)\?", "n"),
+    ):
+        out = f"regexp_replace({out}, '{shape}', '{item}', 'g')"
+    for shape, item in ((_LOOSE, "L"), (_BLANK, "n"), (r"\([mLno|]*\)", "m")):
+        out = f"regexp_replace({out}, '{shape}([^*+?]|$)', '{item}\\1', 'g')"
+    return out
+
+
+_ALTERNATIVES = r"regexp_extract_all(regexp_replace(regexp_replace(bare, '\{\d+,\}', '+', 'g'), '\(\?:', '(', 'g'), '\(([^()]*\|[^()]*)\)[*+]', 1)"
+_ALIKE = (
+    f"len(list_filter(list_transform({_ALTERNATIVES}, lambda a: list_transform(string_split(a, '|'), lambda x: x[1])), "
+    "lambda f: len(list_distinct(f)) < len(f) OR list_contains(f, '.'))) > 0"
+)
 # Verdicts in SQL.  Look-ahead is spelled out, since the other engine has none.
 VETTED = rf"""
 rules AS (SELECT {_rules(text, 'VARCHAR')} FROM part),
@@ -83,6 +117,9 @@ spelled AS (SELECT *, {_JAVA} AS java FROM rules),
 bared AS (SELECT *, {_BARE} AS bare FROM spelled),
 counted AS (SELECT *, {_COUNT} AS groups,
   list_filter(regexp_extract_all(replacement_template, '(?:^|[^\\])\$(\d)', 1), lambda x: true) AS refs FROM bared),
+itemised AS (SELECT *, {_items('bare')} AS items0 FROM counted),
+collapsed1 AS (SELECT *, {_collapsed('items0')} AS items1 FROM itemised),
+collapsed2 AS (SELECT *, {_collapsed('items1')} AS items2 FROM collapsed1),
 judged AS (SELECT *, CASE
   WHEN trim(java) = '' THEN 'blank'
   WHEN length(pattern) > 2000 THEN 'too-long'
@@ -98,12 +135,15 @@ judged AS (SELECT *, CASE
   WHEN contains(java, '.+.+') THEN 'runaway:any-any-plus'
   WHEN regexp_matches(java, '\((?:[^()?:|][^()|]*)?\|[^()]*\)\s*[+*]') THEN 'runaway:repeated-choice'
   WHEN regexp_matches(java, '\{{\d{{4,}},?\d*\}}') THEN 'runaway:huge-count'
+  WHEN regexp_matches(items0, '{_LOOSE}[*+]') OR regexp_matches(items1, '{_LOOSE}[*+]') OR regexp_matches(items2, '{_LOOSE}[*+]')
+    THEN 'runaway:loose-end'
+  WHEN {_ALIKE} THEN 'runaway:overlapping-choice'
   WHEN operation = 'MASK' AND replacement_template = '' THEN 'template:missing'
   WHEN operation = 'MASK' AND len(list_filter(refs, lambda x: CAST(x AS INTEGER) > groups)) > 0
     THEN 'template:number'
   WHEN operation = 'EXTRACT' AND (group_no > groups OR group_no < 0)
     THEN 'group-out-of-range'
-  END AS reason FROM counted),
+  END AS reason FROM collapsed2),
 runnable AS (SELECT *, replace(CASE WHEN reason IS NOT NULL OR contains(java, '\k<') THEN '$^'
   WHEN case_insensitive THEN concat('(?i)', java) ELSE java END, '(?<', '(?P<') AS safe FROM judged),
 tested AS (SELECT *,
@@ -152,6 +192,31 @@ def linted_strict(spark, sf_dir):
     )
 
 
+# Patterns with the power of the length that a failing try may take (0: two to the power of it).
+_POWERS = {r"\d+": 2, r"\w+\s*\w+!": 5, r"(?:[a-z]+-)+x": 3, r"(a+)b\1": 0, "abc": 1, r"[a-z]+@[a-z]+": 3}
+
+
+def _long_examples(quote, kind: str) -> str:
+    arrays = "list_value" if kind == "VARCHAR" else "array"
+    return f"""CAST(p_partkey AS {kind}) AS rule_id, {choose(list(_POWERS), 'p_partkey', quote)} AS pattern, 'REPLACE' AS operation,
+    false AS case_insensitive, {arrays}(concat('c', repeat('c', CAST(p_size * p_size AS INTEGER)))) AS should_not_match"""
+
+
+@query(
+    "lint_long_examples",
+    f"""WITH rules AS (SELECT {_long_examples(text, 'VARCHAR')} FROM part),
+    costs AS (SELECT rule_id, length(should_not_match[1]) AS size, CASE pattern
+      {' '.join(f"WHEN {text(p)} THEN {n}" for p, n in _POWERS.items())} END AS power FROM rules)
+    SELECT rule_id, CAST(late AS INTEGER) AS untested, CASE WHEN NOT late THEN true END AS self_test_passed
+    FROM (SELECT rule_id, CASE WHEN power = 0 THEN size + 1 > 26 ELSE pow(size + 1, power) > 1e8 END AS late FROM costs)""",
+)
+def lint_long_examples(spark, sf_dir):
+    """Examples of up to 2,501 characters; those on which a pattern might run long are not tried."""
+    rules = derive(table(spark, sf_dir, "part"), _long_examples(spark_text, "STRING"))
+    rules = rules.selectExpr("*", "CAST(NULL AS ARRAY<STRING>) AS should_match", "'' AS replacement_template", "0 AS `group`")
+    return lint_rules(rules).select("rule_id", "untested", "self_test_passed")
+
+
 @query(
     "rejections_by_reason",
     f"WITH {VETTED} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS rules FROM vetted GROUP BY 1",
