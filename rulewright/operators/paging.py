@@ -24,6 +24,9 @@ UNNAMED_LOTS = 256
 BUCKET_ROWS = 100_000
 
 INDEX_SCHEMA = "path string, rows bigint, start bigint"
+CLUSTERED_SCHEMA = INDEX_SCHEMA + ", end bigint"
+#: Files in a row group of a saved index: what opening a page reads of it.
+FILES_PER_GROUP = 20_000
 _NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
@@ -82,6 +85,28 @@ def page_index(spark: SparkSession, uri: str) -> DataFrame:
     return running_start(table.groupBy(path).agg(F.count(F.lit(1)).alias("rows")))
 
 
+def save_index(index: DataFrame, path: str, files_per_group: int = FILES_PER_GROUP) -> DataFrame:
+    """``index`` written in the order of row positions, with ``end``; returned as open_index does.
+
+    Ranges of positions become files, in small row groups, so the statistics of either bound
+    tell where a page lies and the rest of the index is not read.
+    """
+    placed = index.select("path", "rows", "start", (F.col("start") + F.col("rows")).alias("end"))
+    ordered = placed.repartitionByRange("start").sortWithinPartitions("start")
+    ordered.write.mode("overwrite").option("parquet.block.row.count.limit", files_per_group).parquet(path)
+    return open_index(index.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """A saved index: path, rows, start, end."""
+    return spark.read.schema(CLUSTERED_SCHEMA).parquet(path)
+
+
+def _file_end(index: DataFrame) -> Column:
+    """Where a file's rows end: a column of a saved index, so that it can be pushed into its scan."""
+    return F.col("end") if "end" in index.columns else F.col("start") + F.col("rows")
+
+
 def visible_columns(spark: SparkSession, uri: str) -> list[str]:
     """Columns of a written result that are shown; none when nothing is there."""
     try:
@@ -132,7 +157,7 @@ def page_slices(pages: DataFrame, index: DataFrame, bucket_rows: int = BUCKET_RO
     first = page_offset(F.col("page"), F.col("page_size"))
     asked = pages.withColumns({"first_row": first, "end_row": first + F.col("page_size")}).where("page_size > 0")
     asked = asked.withColumn("bucket", _buckets("first_row", "end_row", bucket_rows))
-    files = index.where("rows > 0").withColumn("file_end", F.col("start") + F.col("rows"))
+    files = index.where("rows > 0").withColumn("file_end", _file_end(index))
     files = files.withColumn("bucket", _buckets("start", "file_end", bucket_rows))
     begin, until = F.greatest("start", "first_row"), F.least("file_end", "end_row")
     pairs = asked.join(files, "bucket").where(begin < until)
@@ -170,14 +195,15 @@ def read_page(
     """The rows of one page, in file order, bookkeeping columns hidden.
 
     Only files that hold rows of the page are opened, and the position filter
-    reaches the Parquet scan.  For sizes from outside, see clamp_page_size.
+    reaches the Parquet scan; of an index from save_index only the row groups that the
+    page lies in are read.  No page has more than PAGE_SIZE_CEILING rows.
     """
-    size = max(page_size, 0)
+    size = min(max(page_size, 0), PAGE_SIZE_CEILING)
     first = max(page - 1, 0) * size
     end = first + size
     # Every listed file holds a row of the page, so there are at most `size` of them.
     hits = (
-        index.where((F.col("start") < end) & (F.col("start") + F.col("rows") > first))
+        index.where((F.col("start") < end) & (_file_end(index) > first))
         .orderBy("start")
         .limit(size)
         .collect()

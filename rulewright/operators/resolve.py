@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.functions.answers import answer_reason, bare_json, parts, rule_fields
@@ -29,6 +30,22 @@ RULE_FIELDS = (
     "self_test_passed",
 )
 
+MEMORY_SCHEMA = (
+    "key string, rule struct<pattern:string,case_insensitive:boolean,explanation:string,confidence:double,"
+    "should_match:array<string>,should_not_match:array<string>,replacement_template:string,group:int,"
+    "warnings:array<string>,self_test_passed:boolean>, stored_at timestamp"
+)
+
+
+def open_memory(spark: SparkSession, path: str) -> DataFrame:
+    """The remembered rules at a path; none where nothing has been remembered yet."""
+    try:
+        return spark.read.schema(MEMORY_SCHEMA).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MEMORY_SCHEMA)
+
 
 def request_key(provider: Column, model: Column, operation: Column, description: Column) -> Column:
     """Key under which the rule for a description is remembered."""

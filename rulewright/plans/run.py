@@ -13,9 +13,9 @@ from rulewright.errors import RuleError, SourceError
 from rulewright.functions.text import MESSAGE_CLIP, TYPE_CLIP
 from rulewright.operators.ledger import LEDGER_SCHEMA
 from rulewright.operators.lint import lint_rules
-from rulewright.operators.paging import page_index
+from rulewright.operators.paging import PAGE_SIZE, PAGE_SIZE_CEILING, open_index, page_index, read_page, save_index
 from rulewright.operators.requests import gate_requests, payloads
-from rulewright.operators.resolve import judge_answers, keyed, live_entries, remember, resolve
+from rulewright.operators.resolve import judge_answers, keyed, live_entries, open_memory, remember, resolve
 from rulewright.operators.results import write_counted
 from rulewright.operators.transform import apply_rule, resolve_targets
 from rulewright.rule import REPLACE, TextRule, rules_table
@@ -31,6 +31,10 @@ ASK_SCHEMA = (
     "force_refresh boolean, columns array<string>, samples array<string>"
 )
 
+# The progress told when the rule is settled and when the result is written.
+RULE_SETTLED = 24
+RESULT_WRITTEN = 78
+
 
 @dataclass
 class RunRequest:
@@ -52,7 +56,8 @@ class RuleSource:
 
     ``memory`` has key, rule, stored_at; ``answers`` has key, operation, attempt,
     answer (see operators.resolve).  With ``memory_path`` memory is the Parquet table
-    there, and a rule that was accepted from an answer is added to it.
+    there, empty if there is none yet, and a rule that was accepted from an answer is
+    added to it.
     """
 
     rule: TextRule | None = None
@@ -63,7 +68,7 @@ class RuleSource:
     memory_path: str = ""
 
     def remembered(self, spark: SparkSession) -> DataFrame | None:
-        return spark.read.parquet(self.memory_path) if self.memory_path else self.memory
+        return open_memory(spark, self.memory_path) if self.memory_path else self.memory
 
 
 def _now() -> datetime:
@@ -144,9 +149,10 @@ def run_request(
     base: str = "",
     attempt: int = 1,
 ) -> DataFrame:
-    """Run one request; the ledger gets a row when it starts and one when it ends.
+    """Run one request; the ledger gets a row when it starts, when its rule is settled, when its
+    result is written and when it ends.
 
-    The last row is returned; see ledger.latest_runs for a table with one row per run.
+    A run that dies in the work has therefore left its rule.  The last row is returned; see ledger.latest_runs for a table with one row per run.
     The run uses the request as the gate cleaned it, and the ledger tells the same.  With
     ``base`` a key is relative to it, so leading slashes go; without, a key is a whole URI
     or path and keeps them.  The result goes to ``results``/<id>, its page index to
@@ -175,7 +181,7 @@ def run_request(
     try:
         if problems:
             raise RuleError("; ".join(problems))
-        row.update(_run(spark, request, rules, results.rstrip("/"), base))
+        _run(spark, request, rules, results.rstrip("/"), base, row, ledger)
         row.update(status="SUCCESS", progress=100, phase="done")
     except (RuleError, SourceError) as problem:
         row.update(_failure(problem))
@@ -203,23 +209,66 @@ def _gated(spark: SparkSession, request: RunRequest, base: str) -> tuple[RunRequ
     return replace(request, source_key=key, **{n: clean[n] for n in names}), clean["problems"]
 
 
-def _run(spark, request: RunRequest, rules: RuleSource, results: str, base: str) -> dict:
+def _run(spark, request: RunRequest, rules: RuleSource, results: str, base: str, row: dict, ledger: str) -> None:
+    """The work of a run; ``row`` is filled in as it goes, and written to the ledger in between."""
     frame = read_table(spark, resolve_uri(request.source_key, base))
     resolve_targets(frame, request.target_columns)
     rule, told = settle_rule(spark, request, frame, rules)
     outcome = apply_rule(frame, rule, request.target_columns, request.replacement_value)
     output, index = f"{results}/{request.id}", f"{results}/{request.id}.index"
+    row.update(told, output_path=output, result_columns=outcome.visible_columns, added_columns=outcome.added_columns)
+    row.update(progress=RULE_SETTLED, phase="transforming")
+    _append(spark, row, ledger)
     totals = write_counted(outcome.frame, output)
-    page_index(spark, output).write.mode("overwrite").parquet(index)
-    return {
-        **told,
-        "output_path": output,
-        "index_path": index,
-        "result_columns": outcome.visible_columns,
-        "added_columns": outcome.added_columns,
-        "total_rows": totals.rows,
-        "matched_cells": totals.matched,
-    }
+    row.update(total_rows=totals.rows, matched_cells=totals.matched, progress=RESULT_WRITTEN, phase="indexing")
+    _append(spark, row, ledger)
+    save_index(page_index(spark, output), index)
+    row.update(index_path=index)
+
+
+@dataclass(frozen=True)
+class ResultPage:
+    """A page of a finished run with all that is shown around it."""
+
+    frame: DataFrame
+    columns: list[str]
+    added_columns: list[str]
+    page: int
+    page_size: int
+    total_rows: int
+    matched_cells: int
+    total_pages: int
+    has_next: bool
+    has_previous: bool
+    row_offset: int
+
+
+def result_page(spark: SparkSession, run, page: int = 1, page_size: int | None = None, columns: list[str] | None = None) -> ResultPage:
+    """One page of a run (a row of latest_runs), its columns and counters, and where it stands.
+
+    A size that is missing is the usual one; others count as the nearest allowed.  Pages
+    below 1 are page 1, pages past the end are empty.  A run that has not succeeded has none.
+    """
+    told = run.asDict()
+    if told["status"] != "SUCCESS":
+        raise RuleError(f"the run has no result: it is {told['status']}")
+    size = PAGE_SIZE if page_size is None else max(1, min(page_size, PAGE_SIZE_CEILING))
+    page = max(page, 1)
+    frame = read_page(spark, open_index(spark, told["index_path"]), page, size, columns)
+    total = -(-told["total_rows"] // size)
+    return ResultPage(
+        frame=frame,
+        columns=frame.columns,
+        added_columns=list(told["added_columns"] or []),
+        page=page,
+        page_size=size,
+        total_rows=told["total_rows"],
+        matched_cells=told["matched_cells"],
+        total_pages=total,
+        has_next=page < total,
+        has_previous=page > 1,
+        row_offset=(page - 1) * size,
+    )
 
 
 def _failure(problem: Exception) -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.functions.text import SAMPLE_CLIP, as_text, clip, column, text_or_blank
-from rulewright.operators.transform import visible
+from rulewright.operators.transform import free_name, visible
 from rulewright.sources.tables import extension, read_table, resolve_uri
 
 # Rows shown when none are asked for, the most ever shown, samples taken.
@@ -42,7 +42,8 @@ def preview(
     *,
     base: str = "",
 ) -> Preview:
-    """Head of a source.  The delimiter is detected, blank headers become col_<i>."""
+    """Head of a source.  The delimiter is detected, blank headers become col_<i>, and headers
+    that are equal but for blanks or case are numbered: A, A_2."""
     uri = resolve_uri(key, base)
     df = read_table(spark, uri, sep=None)
     if extension(uri) != ".parquet":
@@ -50,7 +51,10 @@ def preview(
         names = [
             f"col_{i}" if n == f"_c{i}" else n.strip() for i, n in enumerate(df.columns)
         ]
-        df = df.toDF(*names)
+        free: list[str] = []
+        for name in names:
+            free.append(free_name(name, free))
+        df = df.toDF(*free)
     if not df.columns:
         return Preview(None, note="no columns")
     # One row more than is shown tells whether there are more.

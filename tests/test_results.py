@@ -11,7 +11,9 @@ from rulewright.operators import paging
 from rulewright.operators.paging import (
     clamp_page_size,
     page_envelope,
+    open_index,
     page_slices,
+    save_index,
     running_start,
     visible_columns,
 )
@@ -180,3 +182,45 @@ def test_plans_stay_narrow(spark, written, people):
     assert seen.count("Exchange") == 1 and "Exchange SinglePartition" in seen
     count = totals(spark.read.parquet(written))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<__matched:int>" in count
+
+
+def scanned_rows(frame):
+    """Rows that the scans of a finished plan put out."""
+    plan, out = frame._jdf.queryExecution().executedPlan(), 0
+    found = plan.collectLeaves()
+    for i in range(found.size()):
+        metrics = found.apply(i).metrics()
+        if metrics.contains("numOutputRows"):
+            out += metrics.apply("numOutputRows").value()
+    return out
+
+
+def test_a_saved_index_prunes_both_bounds(spark, tmp_path):
+    files = spark.range(10**6).selectExpr("concat('/r/part-', id) AS path", "CAST(id % 7 + 1 AS BIGINT) AS rows", "id * 4 AS start")
+    index = save_index(files, str(tmp_path / "index"), files_per_group=5000)
+    assert index.count() == 10**6 and open_index(spark, str(tmp_path / "index")).columns == ["path", "rows", "start", "end"]
+    hits = index.where((F.col("start") < 2_000_050) & (F.col("end") > 2_000_000))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(start,2000050)" in plan and "GreaterThan(end,2000000)" in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hits = index.where((F.col("start") < 2_000_050) & (F.col("end") > 2_000_000))
+        assert len(hits.collect()) == 13
+        # One row group, or two where the page lies on a border.
+        assert scanned_rows(hits) <= 13 or scanned_rows(hits) <= 10_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_pages_by_a_saved_index(spark, written, tmp_path):
+    index = save_index(page_index(spark, written), str(tmp_path / "index"))
+    seen = [r["ID"] for p in range(1, 6) for r in read_page(spark, index, p, 30).collect()]
+    assert seen == [f"{i:04d}" for i in range(120)]
+
+
+def test_slices_read_each_table_once(spark, tmp_path):
+    files = spark.range(40).selectExpr("format_string('/r/part-%05d-c000.parquet', id) AS path", "CAST(id % 5 AS BIGINT) AS rows")
+    index = save_index(running_start(files), str(tmp_path / "index"))
+    pages = spark.createDataFrame([(p, 7) for p in range(1, 14)], "page int, page_size int")
+    plan = page_slices(pages, index)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") + plan.count("Scan parquet") <= 2 and "NestedLoop" not in plan and "SinglePartition" not in plan

@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright import MASK, RuleSource, RunRequest, TextRule, apply_rule_stream, known_rule, read_page, run_request
+from rulewright.errors import RuleError
+from rulewright.operators.resolve import open_memory
+from rulewright.plans.run import result_page
 from rulewright.operators.ledger import (
     LEDGER_SCHEMA,
     current_state,
@@ -119,7 +122,9 @@ def test_run_with_a_given_rule(spark, people_csv, places):
     assert row["finished_at"] >= row["started_at"]
     page = read_page(spark, spark.read.parquet(row["index_path"]), 1, 3)
     assert [r["Email"] for r in page.collect()] == ["GONE", "GONE", "GONE"]
-    assert sorted(r["status"] for r in spark.read.parquet(places["ledger"]).collect()) == ["RUNNING", "SUCCESS"]
+    steps = spark.read.parquet(places["ledger"]).orderBy("progress").collect()
+    assert [(r["status"], r["progress"]) for r in steps] == [("RUNNING", 1), ("RUNNING", 24), ("RUNNING", 78), ("SUCCESS", 100)]
+    assert [r["regex_pattern"] is not None for r in steps] == [False, True, True, True]
 
 
 def test_a_run_uses_the_cleaned_request(spark, people_csv, places):
@@ -135,7 +140,9 @@ def test_any_error_ends_the_run(spark, people_csv, places, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         run_request(spark, request, RuleSource(rule=known_rule("email")), **places)
     rows = spark.read.parquet(places["ledger"])
-    assert latest_runs(rows).first()["error_type"] == "ZeroDivisionError" and rows.where("status = 'RUNNING'").count() == 1
+    assert latest_runs(rows).first()["error_type"] == "ZeroDivisionError" and rows.where("status = 'RUNNING'").count() == 2
+    # What it was about to do is known.
+    assert latest_runs(rows.where("status = 'RUNNING'")).first()["regex_pattern"] == known_rule("email").pattern
 
 
 @pytest.mark.parametrize("change, word", [
@@ -215,3 +222,25 @@ def test_scratch_folder_is_the_session_s(spark):
     assert scratch_path(spark, "x").startswith(scratch_root(spark))
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert judge_answers is not None and keyed is not None and rule("a")[0] == "a"
+
+
+def test_a_page_with_all_around_it(spark, people_csv, places):
+    request = RunRequest(people_csv, ["Email", "Notes"], "find e-mail", operation="EXTRACT")
+    run_request(spark, request, RuleSource(rule=known_rule("email", "EXTRACT")), **places)
+    run = latest_runs(spark.read.parquet(places["ledger"])).first()
+    got = result_page(spark, run, 2, 2)
+    assert [r["ID"] for r in got.frame.collect()] == ["3", "4"]
+    assert got.columns == ["ID", "Name", "Email", "Notes", "Email_extracted", "Notes_extracted"]
+    assert got.added_columns == ["Email_extracted", "Notes_extracted"]
+    assert (got.total_rows, got.matched_cells, got.total_pages, got.has_next, got.has_previous, got.row_offset) == (5, 4, 3, True, True, 2)
+    assert result_page(spark, run).page_size == 50 and result_page(spark, run, -1, 9999).page_size == 500
+    past = result_page(spark, run, 9, 2)
+    assert past.frame.count() == 0 and not past.has_next
+    failed = run_request(spark, RunRequest(people_csv, ["Emial"], "find it", replacement_value="x"), RuleSource(rule=TextRule("a")), **places)
+    with pytest.raises(RuleError, match="FAILED"):
+        result_page(spark, failed.first())
+
+
+def test_memory_may_start_empty(spark, tmp_path):
+    assert open_memory(spark, str(tmp_path / "none")).count() == 0
+    assert open_memory(spark, str(tmp_path / "none")).columns == ["key", "rule", "stored_at"]

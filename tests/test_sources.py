@@ -85,6 +85,12 @@ def test_preview(spark, tmp_path):
     assert seen.truncated and not preview(spark, write(tmp_path, "few.csv", "a\n1\n")).truncated
 
 
+def test_preview_of_equal_headers(spark, tmp_path):
+    seen = preview(spark, write(tmp_path, "eq.csv", "A, A,b, a,A_2\n1,2,3,4,5\n"))
+    assert seen.columns[0] == "A" and len({c.lower() for c in seen.columns}) == 5
+    assert tuple(seen.frame.first()) == ("1", "2", "3", "4", "5")
+
+
 def test_preview_of_nothing(spark, tmp_path):
     seen = preview(spark, write(tmp_path, "p.csv", ""))
     assert seen.frame is None and seen.columns == [] and seen.note == "no columns"

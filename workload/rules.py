@@ -11,6 +11,7 @@ from rulewright import (
     EXTRACT,
     MASK,
     VALIDATE,
+    RuleError,
     TextRule,
     apply_rule,
     apply_rules,
@@ -417,6 +418,50 @@ def profile_pages(spark, sf_dir):
     return profile(table(spark, sf_dir, "pages"), catalogue_rules(), ["url", "html"])
 
 
+@query(
+    "rule_steps",
+    """SELECT step, operation, pattern, targets, outputs, (SELECT count(*) FROM documents WHERE regexp_matches(text, '\\d')) AS affected
+    FROM (VALUES (1, 'REPLACE', '\\d+', 'text', 'text'), (2, 'EXTRACT', '(?i)n', 'lang,source', 'lang_extracted,source_extracted'),
+      (3, 'VALIDATE', '^N', 'text', 'text_valid')) AS v(step, operation, pattern, targets, outputs)""",
+)
+def rule_steps(spark, sf_dir):
+    """What each rule of a sequence says it did, next to the cells that the first affected."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang", "source")
+    rules = [
+        (TextRule(r"\d+"), [" Text "], "N"), (TextRule("n", EXTRACT, case_insensitive=True), ["LANG", "source", "lang"], ""), (TextRule("^N", VALIDATE), ["text"], ""),
+    ]
+    outcome = apply_rules(docs, rules)
+    told = [(k, s.operation, s.pattern, ",".join(s.targets), ",".join(s.outputs)) for k, s in enumerate(outcome.steps, 1)]
+    steps = spark.createDataFrame(told, "step int, operation string, pattern string, targets string, outputs string")
+    return steps.withColumn("affected", outcome.frame.agg(F.sum("__matched_1")).scalar())
+
+
+_KINDS = ["REPLACE", "MASK", "EXTRACT", "VALIDATE", "DROP", "replace", ""]
+
+
+@query(
+    "unsupported_kinds",
+    f"""WITH asked AS (SELECT {choose(_KINDS, "c_custkey")} AS operation FROM customer)
+    SELECT operation, count(*) AS requests, CASE WHEN operation IN ('REPLACE', 'MASK', 'EXTRACT', 'VALIDATE') THEN NULL
+      ELSE concat('unsupported operation: ', operation) END AS refusal FROM asked GROUP BY operation""",
+)
+def unsupported_kinds(spark, sf_dir):
+    """Every kind that the customers ask for, how many do, and whether a rule of it is refused."""
+    customers = table(spark, sf_dir, "customer")
+    asked = derive(customers, f"{choose(_KINDS, 'c_custkey')} AS operation").groupBy("operation").agg(F.count(F.lit(1)).alias("requests"))
+
+    def refusal(kind: str) -> str | None:
+        try:
+            apply_rule(customers, TextRule("a", kind, replacement_template="b"), ["c_name"], "x")
+        except RuleError as problem:
+            return str(problem)
+        return None
+
+    # A row per kind, of which the list above has seven.
+    told = [(kind, refusal(kind)) for kind in _KINDS]
+    return asked.join(spark.createDataFrame(told, "operation string, refusal string"), "operation").select("operation", "requests", "refusal")
+
+
 @query("profile_derived_hints", _profile_sql("documents", ["text"]))
 def profile_derived_hints(spark, sf_dir):
     """Catalogue rules whose literals come from the patterns alone; the counts are those without any."""

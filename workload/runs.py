@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulewright import MASK, RuleSource, RunRequest, apply_rule_stream, known_rule, read_page, run_request
+from rulewright import MASK, VALIDATE, RuleSource, RunRequest, TextRule, apply_rule_stream, known_rule, read_page, run_request
 from rulewright.operators.ledger import (
     STATES,
     current_state,
@@ -20,7 +20,9 @@ from rulewright.operators.ledger import (
     summary_view,
     with_status,
 )
-from rulewright.operators.resolve import keyed
+from rulewright.operators.paging import open_index
+from rulewright.operators.resolve import MEMORY_SCHEMA, keyed
+from rulewright.plans.run import result_page
 from rulewright.session import scratch_path
 from workload.registry import both, choose, derive, query, table, text
 from workload.rules import EMAIL, counter, found
@@ -278,7 +280,7 @@ def whole_run_from_answer(spark, sf_dir):
     answers = keyed(asked, "batch", "m-1").select(
         "key", "operation", F.lit(1).alias("attempt"), answer.alias("answer")
     )
-    memory = spark.createDataFrame([], "key string, rule struct<" + _RULE + ">, stored_at timestamp")
+    memory = spark.createDataFrame([], MEMORY_SCHEMA)
     root = scratch_path(spark, "runs")
     row = run_request(
         spark,
@@ -290,10 +292,38 @@ def whole_run_from_answer(spark, sf_dir):
     return counter(spark.read.parquet(row["output_path"]))
 
 
-_RULE = (
-    "pattern:string,case_insensitive:boolean,explanation:string,confidence:double,should_match:array<string>,"
-    "should_not_match:array<string>,replacement_template:string,group:int,warnings:array<string>,self_test_passed:boolean"
+@query(
+    "run_result_page",
+    r"""SELECT l_orderkey, l_linenumber, regexp_replace(l_returnflag, '[AN]', '-', 'g') AS l_returnflag, CAST(3 AS BIGINT) AS page, CAST(40 AS BIGINT) AS page_size,
+    (SELECT count(*) FROM lineitem) AS total_rows, (SELECT count(*) FROM lineitem WHERE l_returnflag IN ('A', 'N')) AS matched_cells,
+    (SELECT (count(*) + 39) // 40 FROM lineitem) AS total_pages, true AS has_next, true AS has_previous, CAST(80 AS BIGINT) AS row_offset
+    FROM lineitem LIMIT 40 OFFSET 80""",
+)
+def run_result_page(spark, sf_dir):
+    """Rows, counters and position of one page of a finished run, in one call; one page is the feature."""
+    root = scratch_path(spark, "runs")
+    request = RunRequest("lineitem.parquet", ["l_returnflag"], "hide the flags", replacement_value="-")
+    run_request(spark, request, RuleSource(rule=TextRule("[AN]")), results=f"{root}/results", ledger=f"{root}/ledger", base=sf_dir)
+    run = latest_runs(spark.read.parquet(f"{root}/ledger")).first()
+    got = result_page(spark, run, 3, 40, ["l_orderkey", "l_linenumber", "l_returnflag"])
+    told = {n: getattr(got, n) for n in ("page", "page_size", "total_rows", "matched_cells", "total_pages", "has_next", "has_previous", "row_offset")}
+    return got.frame.withColumns({n: F.lit(v).cast("boolean" if isinstance(v, bool) else "bigint") for n, v in told.items()})
+
+
+@query(
+    "run_rule_recorded",
+    """SELECT progress, phase, progress >= 24 AS has_rule, progress >= 78 AS has_totals, CASE WHEN progress >= 78 THEN
+    (SELECT count(*) FROM orders) END AS total_rows FROM (VALUES (1, 'starting'), (24, 'transforming'), (78, 'indexing'), (100, 'done')) AS v(progress, phase)""",
 )
+def run_rule_recorded(spark, sf_dir):
+    """The transitions of a run over the orders: the rule is known before the work, the totals before the index."""
+    root = scratch_path(spark, "runs")
+    request = RunRequest("orders.parquet", ["o_orderpriority"], "urgent orders", operation=VALIDATE)
+    run_request(spark, request, RuleSource(rule=TextRule("^[12]-", VALIDATE)), results=f"{root}/results", ledger=f"{root}/ledger", base=sf_dir)
+    rows = spark.read.parquet(f"{root}/ledger")
+    return rows.select(
+        "progress", "phase", F.col("regex_pattern").isNotNull().alias("has_rule"), F.col("total_rows").isNotNull().alias("has_totals"), "total_rows"
+    )
 
 
 # ---------------------------------------------------------------- streams
@@ -342,13 +372,12 @@ def streamed_mask(spark, sf_dir):
 
 @query(
     "second_run_is_remembered",
-    """SELECT n AS run, n = 2 AS llm_cached, 'SUCCESS' AS status, (SELECT count(*) FROM documents) AS total_rows, 2 AS transitions
+    """SELECT n AS run, n = 2 AS llm_cached, 'SUCCESS' AS status, (SELECT count(*) FROM documents) AS total_rows, 4 AS transitions
     FROM (VALUES (1), (2)) AS v(n)""",
 )
 def second_run_is_remembered(spark, sf_dir):
     """The same request twice: the first takes a rule from an answer, the second from memory."""
     root, source = scratch_path(spark, "runs"), people_csv(spark, sf_dir)
-    spark.createDataFrame([], "key string, rule struct<" + _RULE + ">, stored_at timestamp").write.parquet(f"{root}/memory")
     asked = spark.createDataFrame([(MASK, "Mask the e-mail addresses")], "operation string, description string")
     answer = F.to_json(F.struct(F.lit(EMAIL.mask[0]).alias("pattern"), F.lit(EMAIL.mask[1]).alias("replacement_template")))
     answers = keyed(asked, "batch", "m-1").select("key", "operation", F.lit(1).alias("attempt"), answer.alias("answer"))
@@ -375,5 +404,4 @@ def run_page(spark, sf_dir):
     run_request(
         spark, request, RuleSource(rule=known_rule("email")), results=f"{root}/results", ledger=f"{root}/ledger"
     )
-    saved = spark.read.parquet(f"{root}/results/{request.id}.index")
-    return read_page(spark, saved, 1, 50)
+    return read_page(spark, open_index(spark, f"{root}/results/{request.id}.index"), 1, 50)
