@@ -11,12 +11,18 @@ Documents with equal sets are one node.  The aim is the components, so a list of
 that share a token is not expanded into pairs: every node is first compared with one
 pivot of its list, linked nodes become one component, and lists inside one component are
 done.  After ``ROUNDS`` rounds with other pivots, all nodes of different components that
-share one of their rarest prefix tokens are compared: they are put into blocks, by
-component where it is large, and two blocks are compared by one matrix product, so no
-link between components is missed and no pair is a row.
-
-Tokens travel to their lists as packed arrays, one per task and bucket.  Sets are
-compared in a stream sorted by pivot or block, of which a task holds two at a time.
+share one of their rarest prefix tokens are compared in blocks, so no link between
+components is missed and no pair is a row.  A block holds nodes of one component where it
+is large, else nodes that the rounds tied together or that have their least prefix token
+in common, up to ``BLOCK_TOKENS`` tokens.  Of two blocks the prefixes of the first order
+travel first; a matrix product counts what nodes share, and only nodes with as many shared
+tokens as a partner of fitting size asks for go on.  Of those the prefixes of all three
+orders are intersected, and whole sets travel only for nodes that pass every order with
+the same partner.
+
+Tokens travel to their lists as packed arrays, one per task and bucket.  A task compares
+one pair of blocks at a time.  A text is hashed whole, in a slice of its own if it is
+longer than a few megabytes; its distinct shingles are what a task must hold of it.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from rulewright.llm.common import stored
@@ -42,8 +49,10 @@ CHUNK = 1 << 20
 #: Prefix tokens that one bucket should not exceed.
 BUCKET_TOKENS = 4_000_000
 SALTS = 32
-#: Nodes of a block that are compared at once; a component of half as many has blocks of its own.
-BLOCK = 512
+#: A component of so many nodes has blocks of its own.
+LARGE = 256
+#: Prefix tokens of a block, unless one node has more.
+BLOCK_TOKENS = 1 << 18
 COLUMNS = 8192
 
 
@@ -268,16 +277,17 @@ def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def blocks_of(grouped: DataFrame, clusters: DataFrame) -> DataFrame:
-    """node, n, comp, block, owner: ``owner`` is the component that all nodes of the block are in, if it is large."""
-    nodes = grouped.select("node", "n", "comp").distinct().join(clusters.select("node", F.col("root").alias("cluster")), "node", "left")
+def blocks_of(packed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """node, n, comp, tokens, block, owner: ``owner`` is the component that all nodes of the block are in, if it is large."""
+    nodes = packed.join(clusters.select("node", F.col("root").alias("cluster")), "node", "left")
     sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
-    nodes = nodes.join(sizes, "comp")
-    owner = F.when(F.col("size") >= BLOCK // 2, F.col("comp"))
-    pool = F.coalesce(owner, F.col("cluster"), F.col("node"))
-    nodes = nodes.select("node", "n", "comp", owner.alias("owner"), F.xxhash64(owner.isNotNull(), pool).alias("pool"))
-    pools = nodes.groupBy("pool").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    return nodes.join(pools, "pool").select("node", "n", "comp", "owner", F.xxhash64("pool", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    owner = F.when(F.col("size") >= LARGE, F.col("comp"))
+    least = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t)))
+    pool = F.xxhash64(owner.isNotNull(), F.col("cluster").isNotNull(), F.coalesce(owner, F.col("cluster"), least))
+    nodes = nodes.join(sizes, "comp").select("node", "n", "comp", "tokens", owner.alias("owner"), pool.alias("pool"))
+    pools = nodes.groupBy("pool").agg(F.ceil(F.sum(F.size("tokens")) / BLOCK_TOKENS).alias("parts"))
+    block = F.xxhash64("pool", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return nodes.join(pools, "pool").select("node", "n", "comp", "tokens", "owner", block.alias("block"))
 
 
 def block_pairs(rare: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -290,6 +300,137 @@ def block_pairs(rare: DataFrame, blocks: DataFrame) -> DataFrame:
     return pairs.select(F.col("block").alias("left"), "right").distinct()
 
 
+def sides(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """left, right, side, node: the nodes of both blocks of each pair; a block with itself has one side."""
+    nodes = blocks.select("block", "node")
+    first = pairs.join(nodes.withColumnRenamed("block", "left"), "left").select("left", "right", F.lit(0).alias("side"), "node")
+    second = pairs.where("left <> right").join(nodes.withColumnRenamed("block", "right"), "right")
+    return first.union(second.select("left", "right", F.lit(1).alias("side"), "node"))
+
+
+class Facing:
+    """The nodes of a pair of blocks, with as many token sets each as the table has columns of them."""
+
+    def __init__(self, rows: list[tuple], lists: int):
+        self.left, self.right = rows[0][0], rows[0][1]
+        one = [r for r in rows if r[2] == 0]
+        self.rows = (one, one if self.left == self.right else [r for r in rows if r[2] == 1])
+        self.node, self.n, self.comp = ([np.array([r[k] for r in side], np.int64) for side in self.rows] for k in (3, 4, 5))
+        self.sets = [[[r[6 + k] for r in side] for side in self.rows] for k in range(lists)]
+
+    def fits(self) -> np.ndarray:
+        """Which nodes may be similar by their sizes and are not known to be connected."""
+        small, large = np.minimum(self.n[0][:, None], self.n[1][None, :]), np.maximum(self.n[0][:, None], self.n[1][None, :])
+        return (5 * small >= 4 * large) & (self.comp[0][:, None] != self.comp[1][None, :])
+
+    def enough(self) -> np.ndarray:
+        """As many shared tokens of the first order's prefixes as a similarity of 0.8 asks for."""
+        return np.minimum(self.n[0][:, None], self.n[1][None, :]) // 10 + 1
+
+    def shared(self, k: int) -> np.ndarray:
+        return _meets(*self.sets[k])
+
+
+def face_to_face(members: DataFrame, facts: DataFrame, judge, shape: str) -> DataFrame:
+    """``judge`` of each pair of blocks; ``facts`` has node, n, comp and one or more arrays of tokens."""
+    names = [c for c in facts.columns if c not in ("node", "n", "comp")]
+    kept = StructType.fromDDL(shape).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in judge(Facing(rows, len(names)))], kept)
+
+        waiting: list[tuple] = []
+        for batch in batches:
+            plain = [batch.column(c).to_pylist() for c in ("left", "right", "side", "node", "n", "comp")]
+            lists = [[np.sort(np.array(x.values, np.int64).view(U64)) for x in batch.column(c)] for c in names]
+            for row in zip(*plain, *lists):
+                if waiting and waiting[-1][:2] != row[:2]:
+                    yield out(waiting)
+                    waiting = []
+                waiting.append(row)
+        if waiting:
+            yield out(waiting)
+
+    ordered = members.join(facts, "node").select("left", "right", "side", "node", "n", "comp", *names)
+    return ordered.repartition("left", "right").sortWithinPartitions("left", "right", "side", "node").mapInArrow(run, shape)
+
+
+def _hit(facing: Facing, hit: np.ndarray) -> list[np.ndarray]:
+    """left, right, side, node of the nodes with a partner."""
+    some = [facing.node[0][hit.any(1)], facing.node[1][hit.any(0)]]
+    if facing.left == facing.right:
+        some = [np.union1d(*some), some[1][:0]]
+    n = sum(map(len, some))
+    return [np.full(n, facing.left), np.full(n, facing.right), np.repeat([0, 1], [len(x) for x in some]), np.concatenate(some)]
+
+
+def by_count(facing: Facing) -> list[np.ndarray]:
+    return _hit(facing, facing.fits() & (facing.shared(0) >= facing.enough()))
+
+
+def by_orders(facing: Facing) -> list[np.ndarray]:
+    hit = facing.fits()
+    for k, least in ((0, facing.enough()), (1, 1), (2, 1)):
+        if hit.any():
+            hit &= facing.shared(k) >= least
+    return _hit(facing, hit)
+
+
+def by_sets(facing: Facing) -> list[np.ndarray]:
+    """Enough links to connect what is linked: a, b."""
+    hit = facing.fits()
+    if hit.any():
+        shared = facing.shared(0).astype(np.int64)
+        hit &= 100 * shared >= 80 * (facing.n[0][:, None] + facing.n[1][None, :] - shared)
+    rows, columns = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+    first, second = bipartite_roots(hit)
+    a = np.concatenate([facing.node[0][rows], facing.node[1][columns]])
+    b = np.concatenate([facing.node[0][first[rows]], facing.node[0][second[columns]]])
+    return [a[a != b], b[a != b]]
+
+
+def orders_of(sets: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """node, second, third: the prefixes in the other orders of the given nodes."""
+    known = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, tokens in zip(batch.column("node").to_pylist(), batch.column("tokens")):
+                s = np.frombuffer(tokens.as_buffer(), U64)
+                found = [pa.array([signed(prefix(s, known.value, seed))], pa.list_(pa.int64())) for seed in SEEDS]
+                yield pa.RecordBatch.from_arrays([pa.array([node]), *found], ["node", "second", "third"])
+
+    return sets.join(nodes, "node").mapInArrow(run, "node long, second array<long>, third array<long>")
+
+
+def block_links(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """a, b: enough links between the nodes of each pair of blocks to connect what is linked there."""
+    seat = "left long, right long, side long, node long"
+    counted = stored(face_to_face(sides(pairs, blocks), blocks.select("node", "n", "comp", "tokens"), by_count, seat), "counted-nodes")
+    nodes = blocks.select("node", "n", "comp", F.col("tokens").alias("first"))
+    others = orders_of(sets, counted.select("node").distinct(), frequent)
+    passed = stored(face_to_face(counted, nodes.join(others, "node"), by_orders, seat), "ordered-nodes")
+    # Whole sets, of those nodes only.
+    facts = sets.join(passed.select("node").distinct(), "node").join(blocks.select("node", "n", "comp"), "node")
+    return face_to_face(passed, _unpacked(facts), by_sets, "a long, b long")
+
+
+def _unpacked(facts: DataFrame) -> DataFrame:
+    """node, n, comp, tokens with the packed tokens as an array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("tokens")]
+            edges = np.append(0, np.cumsum([len(x) for x in tokens]))
+            flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("node", "n", "comp")), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), flat)], ["node", "n", "comp", "tokens"]
+            )
+
+    return facts.select("node", "n", "comp", "tokens").mapInArrow(run, "node long, n int, comp long, tokens array<long>")
+
+
 def _meets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of sorted sets, worked out for ``COLUMNS`` tokens at a time."""
     both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
@@ -316,45 +457,6 @@ def _meets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """a, b: enough links between the nodes of each pair of blocks to connect what is linked there."""
-    known = pairs.sparkSession.sparkContext.broadcast(frequent)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = None
-        for batch in batches:
-            columns = [batch.column(c) for c in ("member", "nodes", "tokens")]
-            for member, nodes, tokens in zip(columns[0].to_pylist(), columns[1], columns[2]):
-                nodes = np.array(nodes.values)
-                sets = [np.frombuffer(x.as_buffer(), U64) for x in tokens.values]
-                mine = (nodes, sets, [[prefix(s, known.value, seed) for s in sets] for seed in SEEDS])
-                if not member:
-                    hub = mine
-                    continue
-                hit = np.ones((len(hub[0]), len(nodes)), bool)
-                for k in range(len(SEEDS)):
-                    if hit.any():
-                        hit &= _meets(hub[2][k], mine[2][k]) > 0
-                if hit.any():
-                    shared = _meets(hub[1], sets).astype(np.int64)
-                    sizes = np.array([len(s) for s in hub[1]])[:, None] + np.array([len(s) for s in sets])[None, :]
-                    hit &= 100 * shared >= 80 * (sizes - shared)
-                left, right = bipartite_roots(hit)
-                rows, columns_hit = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-                a = np.concatenate([hub[0][rows], nodes[columns_hit]])
-                b = np.concatenate([hub[0][left[rows]], hub[0][right[columns_hit]]])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    packed = blocks.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "tokens")).alias("rows"))
-    packed = stored(packed.select("block", "rows.node", "rows.tokens").toDF("block", "nodes", "tokens"), "set-blocks")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("right"), F.lit(4)).cast("int"))
-    members = salted.join(packed.withColumnRenamed("block", "right"), "right").select("left", "salt", F.lit(1).alias("member"), "nodes", "tokens")
-    hubs = salted.select("left", "salt").distinct().join(packed.withColumnRenamed("block", "left"), "left")
-    hubs = hubs.select("left", "salt", F.lit(0).alias("member"), "nodes", "tokens")
-    ordered = members.union(hubs).repartition("left", "salt").sortWithinPartitions("left", "salt", "member")
-    return ordered.mapInArrow(compare, "a long, b long").where("a <> b")
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -383,7 +485,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
         clusters = near if clusters is None else clusters.union(near)
         roots = components(links)
     grouped = _with_component(lists, roots)
-    blocks = stored(blocks_of(grouped, components(clusters)), "blocks")
+    packed = grouped.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list("token").alias("tokens"))
+    blocks = stored(blocks_of(stored(packed, "node-prefixes"), components(clusters)), "blocks")
     last = stored(block_pairs(rarest(lists), blocks), "block-pairs")
     roots = components(links.union(stored(block_links(last, blocks, sets, frequent), "found")))
     named = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component"))

@@ -39,7 +39,8 @@ def test_near_copies(spark, documents):
 
 
 def test_near_copies_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr("rulewright.llm.jaccard_join.BLOCK", 4)
+    monkeypatch.setattr("rulewright.llm.jaccard_join.BLOCK_TOKENS", 60)
+    monkeypatch.setattr("rulewright.llm.jaccard_join.LARGE", 2)
     rows = list(enumerate(some_texts()))
     assert rows_of(near_copies(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.near_copies(rows)
 
@@ -73,3 +74,49 @@ def test_components(spark, shape):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {"chain": {k: 0 for k in range(41)}, "star": {k: 0 for k in range(30)}, "two": {1: 1, 2: 1, 9: 4, 4: 4}}[shape]
     assert got == want
+
+
+def test_a_family_of_related_texts(spark, monkeypatch):
+    """Texts that share much and are no near copies: few pairs of blocks, and the links among them found."""
+    import rulewright.llm.jaccard_join as join
+
+    rnd = random.Random(9)
+    pool = [[f"w{rnd.randrange(10**6)}" for _ in range(30)] for _ in range(300)]
+    rows = []
+    for k in range(120):
+        parts = [rnd.choice(pool) for _ in range(40)]
+        rows.append((k, " ".join(w for p in parts for w in p)))
+    for k in range(0, 20, 4):  # near copies, of which the rounds may find some
+        words = rows[k][1].split()
+        words[50:60] = ["x"] * 10
+        rows.append((500 + k, " ".join(words)))
+    made = []
+    kept = join.block_pairs
+    monkeypatch.setattr(join, "block_pairs", lambda *given: made.append(kept(*given)) or made[-1])
+    monkeypatch.setattr(join, "ROUNDS", 1)
+    got = rows_of(near_copies(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute.near_copies(rows)
+    assert made[0].count() < 120 * 119 / 2 / 4
+
+
+def test_blocks_of_every_size(spark, monkeypatch):
+    """Small blocks and no rounds to speak of: the blocks find every link."""
+    import rulewright.llm.jaccard_join as join
+
+    rows = [(k, t) for k, t in enumerate(some_texts())]
+    for tokens, large in ((40, 2), (1 << 18, 256)):
+        monkeypatch.setattr(join, "BLOCK_TOKENS", tokens)
+        monkeypatch.setattr(join, "LARGE", large)
+        monkeypatch.setattr(join, "star_pairs", lambda lists, turn: lists.select("node", lists.node.alias("pivot")).limit(0))
+        assert rows_of(near_copies(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.near_copies(rows)
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(2)
+    words = [f"v{rnd.randrange(10**7)}" for _ in range(400_000)]
+    changed = list(words)
+    changed[1000:21000] = ["y"] * 20000
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:200_000])), (4, "a b c")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: len(brute.shingles(t)) for k, t in rows}
+    assert got == {1: (sets[1], 1), 2: (sets[2], 1), 3: (sets[3], 3), 4: (1, 4)}
