@@ -129,18 +129,21 @@ def shared_lists(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
 
         def out() -> pa.RecordBatch:
             t = np.concatenate(tokens)
-            o = np.repeat(np.array(nodes, np.int64), [len(x) for x in tokens])
-            n = np.repeat(np.array(sizes, np.int32), [len(x) for x in tokens])
+            row = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            o, n = np.array(nodes, np.int64), np.array(sizes, np.int32)
             bucket = (mix(t) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b] < edges[b + 1]]
-            return pa.RecordBatch.from_pydict({
-                "bucket": pa.array([b for b, _ in some], pa.int32()),
-                "tokens": pa.array([t[k].tobytes() for _, k in some], pa.binary()),
-                "nodes": pa.array([o[k].tobytes() for _, k in some], pa.binary()),
-                "sizes": pa.array([n[k].tobytes() for _, k in some], pa.binary()),
-            })
+            # A node is named once per bucket; its tokens tell which of the names is theirs.
+            out = []
+            for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                k = order[edges[b] : edges[b + 1]]
+                here, which = np.unique(row[k], return_inverse=True)
+                which = which.astype(np.uint16 if len(here) <= 1 << 16 else np.uint32)
+                out.append((b, t[k].tobytes(), which.tobytes(), o[here].tobytes(), n[here].tobytes()))
+            columns = zip(*out)
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "tokens", "which", "nodes", "sizes"])
 
         for batch in batches:
             for _, _, data, at in slices(batch.column("text")):
@@ -157,14 +160,16 @@ def shared_lists(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
             yield out()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"tokens": U64, "nodes": np.int64, "sizes": np.int32}
-        parts: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for name, kind in kinds.items():
-                parts[name] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(name)]
-        if not parts["tokens"]:
+            for cells in zip(*(batch.column(c) for c in ("tokens", "which", "nodes", "sizes"))):
+                tokens, which, nodes, sizes = (x.as_buffer() for x in cells)
+                at = np.frombuffer(which, f"u{8 * which.size // tokens.size}")
+                parts.append((np.frombuffer(tokens, U64), np.frombuffer(nodes, np.int64)[at], np.frombuffer(sizes, np.int32)[at]))
+        if not parts:
             return
-        t, o, n = (np.concatenate(parts.pop(k)) for k in kinds)
+        t, o, n = (np.concatenate(x) for x in zip(*parts))
+        del parts
         order = np.lexsort((o, t))
         t, o, n = t[order], o[order], n[order]
         first = np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))
@@ -175,7 +180,7 @@ def shared_lists(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
         for at in range(0, table.num_rows, 100_000):
             yield table.slice(at, 100_000)
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, tokens binary, nodes binary, sizes binary")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, tokens binary, which binary, nodes binary, sizes binary")
     return dealt.repartition(buckets, "bucket").mapInArrow(gather, "token long, node long, n int")
 
 
@@ -278,16 +283,16 @@ def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
 
 
 def blocks_of(packed: DataFrame, clusters: DataFrame) -> DataFrame:
-    """node, n, comp, tokens, block, owner: ``owner`` is the component that all nodes of the block are in, if it is large."""
-    nodes = packed.join(clusters.select("node", F.col("root").alias("cluster")), "node", "left")
+    """node, comp, block, owner: ``owner`` is the component that all nodes of the block are in, if it is large."""
+    facts = packed.select("node", "comp", F.size("tokens").alias("held"), F.array_min(F.transform("tokens", lambda t: F.xxhash64(t))).alias("least"))
+    nodes = facts.join(clusters.select("node", F.col("root").alias("cluster")), "node", "left")
     sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
     owner = F.when(F.col("size") >= LARGE, F.col("comp"))
-    least = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t)))
-    pool = F.xxhash64(owner.isNotNull(), F.col("cluster").isNotNull(), F.coalesce(owner, F.col("cluster"), least))
-    nodes = nodes.join(sizes, "comp").select("node", "n", "comp", "tokens", owner.alias("owner"), pool.alias("pool"))
-    pools = nodes.groupBy("pool").agg(F.ceil(F.sum(F.size("tokens")) / BLOCK_TOKENS).alias("parts"))
+    pool = F.xxhash64(owner.isNotNull(), F.col("cluster").isNotNull(), F.coalesce(owner, F.col("cluster"), F.col("least")))
+    nodes = nodes.join(sizes, "comp").select("node", "comp", "held", owner.alias("owner"), pool.alias("pool"))
+    pools = nodes.groupBy("pool").agg(F.ceil(F.sum("held") / BLOCK_TOKENS).alias("parts"))
     block = F.xxhash64("pool", F.pmod(F.xxhash64("node"), F.col("parts")))
-    return nodes.join(pools, "pool").select("node", "n", "comp", "tokens", "owner", block.alias("block"))
+    return nodes.join(pools, "pool").select("node", "comp", "owner", block.alias("block"))
 
 
 def block_pairs(rare: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -404,15 +409,15 @@ def orders_of(sets: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFr
     return sets.join(nodes, "node").mapInArrow(run, "node long, second array<long>, third array<long>")
 
 
-def block_links(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+def block_links(pairs: DataFrame, blocks: DataFrame, packed: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
     """a, b: enough links between the nodes of each pair of blocks to connect what is linked there."""
     seat = "left long, right long, side long, node long"
-    counted = stored(face_to_face(sides(pairs, blocks), blocks.select("node", "n", "comp", "tokens"), by_count, seat), "counted-nodes")
-    nodes = blocks.select("node", "n", "comp", F.col("tokens").alias("first"))
+    counted = stored(face_to_face(sides(pairs, blocks), packed, by_count, seat), "counted-nodes")
+    nodes = packed.withColumnRenamed("tokens", "first")
     others = orders_of(sets, counted.select("node").distinct(), frequent)
     passed = stored(face_to_face(counted, nodes.join(others, "node"), by_orders, seat), "ordered-nodes")
     # Whole sets, of those nodes only.
-    facts = sets.join(passed.select("node").distinct(), "node").join(blocks.select("node", "n", "comp"), "node")
+    facts = sets.join(passed.select("node").distinct(), "node").join(packed.select("node", "n", "comp"), "node")
     return face_to_face(passed, _unpacked(facts), by_sets, "a long, b long")
 
 
@@ -475,7 +480,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (5 * BUCKET_TOKENS))
     lists = worth_comparing(stored(shared_lists(docs, frequent, buckets), "shared-lists"))
     ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"))
-    sets = stored(node_sets(docs, ids.join(lists.select("node").distinct(), "node")), "node-sets")
+    # Written, so that its size is known before texts are moved to it.
+    wanted = stored(ids.join(lists.select("node").distinct(), "node"), "wanted-nodes")
+    sets = stored(node_sets(docs, wanted), "node-sets")
     links, roots, clusters = None, None, None
     for turn in range(ROUNDS):
         pairs = stored(star_pairs(_with_component(lists, roots), turn), "pairs")
@@ -486,9 +493,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         roots = components(links)
     grouped = _with_component(lists, roots)
     packed = grouped.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list("token").alias("tokens"))
-    blocks = stored(blocks_of(stored(packed, "node-prefixes"), components(clusters)), "blocks")
+    packed = stored(packed, "node-prefixes")
+    blocks = stored(blocks_of(packed, components(clusters)), "blocks")
     last = stored(block_pairs(rarest(lists), blocks), "block-pairs")
-    roots = components(links.union(stored(block_links(last, blocks, sets, frequent), "found")))
+    roots = components(links.union(stored(block_links(last, blocks, packed, sets, frequent), "found")))
     named = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component"))
     smallest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "component", "left").select(
