@@ -270,11 +270,15 @@ def training_rows(scanned: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """Views and classes of at most ``SAMPLE`` findings and twice as many other candidates outside the
     held-out fold, in the order of a hash."""
     each = scanned.where(F.col("fold") != 0).select("doc_id", F.explode("open").alias("e")).select("doc_id", "e.*")
+    counts = {r.secret: r.n for r in each.groupBy("secret").agg(F.count("*").alias("n")).collect()}
     views: list[np.ndarray] = []
     truth: list[float] = []
     for secret, most in ((True, SAMPLE), (False, 2 * SAMPLE)):
-        order = [F.xxhash64("view", "doc_id", "start"), "view", "start"]
-        for r in each.where(F.col("secret") == secret).orderBy(*order).limit(most).select("view", "before", "after").collect():
+        # Twice as many hashes as are wanted, so that no task sends more than its part of them.
+        share = min(1.0, 2 * most / max(counts.get(secret, 0), 1))
+        spot = F.xxhash64("view", "doc_id", "start")
+        drawn = each.where((F.col("secret") == secret) & (spot <= int(-(2**63) + share * (2**64 - 2048))))
+        for r in drawn.orderBy(spot, "view", "start").limit(most).select("view", "before", "after").collect():
             views.append(symbols(bytes(r.view), r.before, r.after))
             truth.append(float(secret))
     return views, np.array(truth)
