@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rulewright.errors import RuleError, SourceError
 from rulewright.functions.text import MESSAGE_CLIP, TYPE_CLIP
 from rulewright.operators.ledger import LEDGER_SCHEMA
+from rulewright.operators.ledger_files import LedgerFiles, append_rows
 from rulewright.operators.lint import lint_rules
 from rulewright.operators.paging import PAGE_SIZE, PAGE_SIZE_CEILING, open_index, page_index, read_page, save_index
 from rulewright.operators.requests import gate_requests, payloads
@@ -152,7 +153,9 @@ def run_request(
     """Run one request; the ledger gets a row when it starts, when its rule is settled, when its
     result is written and when it ends.
 
-    A run that dies in the work has therefore left its rule.  The last row is returned; see ledger.latest_runs for a table with one row per run.
+    A run that dies in the work has therefore left its rule.  The last row is returned.  The rows
+    go to buckets of time (see ledger_files, which folds and reads them); ledger.latest_runs makes
+    one row per run of them.
     The run uses the request as the gate cleaned it, and the ledger tells the same.  With
     ``base`` a key is relative to it, so leading slashes go; without, a key is a whole URI
     or path and keeps them.  The result goes to ``results``/<id>, its page index to
@@ -282,5 +285,5 @@ def _failure(problem: Exception) -> dict:
 
 def _append(spark: SparkSession, row: dict, ledger: str) -> DataFrame:
     line = spark.createDataFrame([row], LEDGER_SCHEMA)
-    line.write.mode("append").parquet(ledger)
+    append_rows(line.coalesce(1), LedgerFiles(ledger), F.lit(_now()))
     return line

@@ -166,6 +166,29 @@ def test_profile_and_column_counts(people):
     assert checked["affected_cells"] == 2 and checked["rate"] == 0.4
 
 
+def test_profile_of_many_rules_and_columns(spark):
+    wide = spark.range(40).select("id", *[F.concat(F.lit("a@b.co "), F.col("id") * i % 7).alias(f"c{i}") for i in range(500)])
+    rules = [TextRule(str(k), rule_id=f"r{k}", requires=(str(k),)) for k in range(7)] * 10 + [known_rule("email", "VALIDATE"), TextRule("A", case_insensitive=True, rule_id="a")]
+    got = {(r["rule_id"], r["column_name"]): r for r in profile(wide, rules, [f"c{i}" for i in range(500)]).collect()}
+    assert len(got) == 9 * 500
+    for k in range(7):
+        for i in (0, 1, 5, 499):
+            row = got[f"r{k}", f"c{i}"]
+            assert row["affected_cells"] == sum(n * i % 7 == k for n in range(40)) and row["total_rows"] == 40
+            assert row["affected_rows"] == sum(any(n * j % 7 == k for j in range(500)) for n in range(40))
+    assert got["email", "c3"]["affected_cells"] == 40 and got["a", "c3"]["rate"] == 1.0
+    with pytest.raises(RuleError, match="at least one rule"):
+        profile(wide, [])
+
+
+def test_profile_counts_nulls_as_blank_and_rows_once(spark):
+    df = spark.createDataFrame([("a", "b"), (None, "a"), ("x", None), (None, None)], "s string, t string")
+    checked = profile(df, [TextRule("^a$", "VALIDATE", rule_id="v"), TextRule("^$", rule_id="blank"), TextRule("a", rule_id="a", requires=("a",))]).collect()
+    assert {(r["rule_id"], r["column_name"]): (r["affected_cells"], r["affected_rows"]) for r in checked} == {
+        ("v", "s"): (3, 4), ("v", "t"): (3, 4), ("blank", "s"): (2, 3), ("blank", "t"): (2, 3), ("a", "s"): (1, 2), ("a", "t"): (1, 2),
+    }
+
+
 def test_rules_in_sequence(people):
     outcome = apply_rules(people, [(known_rule("email"), ["Email", "Notes"], "m 1"), (known_rule("digits"), ["Email"], "N")])
     rows = {r["ID"]: r for r in outcome.frame.collect()}
@@ -179,7 +202,8 @@ def test_plans_stay_narrow(spark, written, people):
     index = page_index(spark, written)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<>" in index
     seen = profile(people, [known_rule("email"), known_rule("digits")])._jdf.queryExecution().executedPlan().toString()
-    assert seen.count("Exchange") == 1 and "Exchange SinglePartition" in seen
+    # A row per column with hits, then one row of counts.
+    assert seen.count("Exchange") == 2 and "Exchange hashpartitioning(at#" in seen and "Exchange SinglePartition" in seen
     count = totals(spark.read.parquet(written))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<__matched:int>" in count
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from rulewright import MASK, VALIDATE, RuleSource, RunRequest, TextRule, apply_rule_stream, known_rule, read_page, run_request
 from rulewright.operators.ledger import (
+    LEDGER_SCHEMA,
     STATES,
     current_state,
     fail_stale,
@@ -20,10 +23,12 @@ from rulewright.operators.ledger import (
     summary_view,
     with_status,
 )
+from rulewright.operators.ledger_files import LedgerFiles, append_rows, fold_ledger, ledger_rows, unfinished_runs
 from rulewright.operators.paging import open_index
 from rulewright.operators.resolve import MEMORY_SCHEMA, keyed
 from rulewright.plans.run import result_page
 from rulewright.session import scratch_path
+from rulewright.streaming.rules import BATCH, apply_rule_batches, running_totals, write_batch
 from workload.registry import both, choose, derive, query, table, text
 from workload.rules import EMAIL, counter, found
 from workload.tables import delimited
@@ -227,6 +232,55 @@ def run_states_live(spark, sf_dir):
     return current_state(steps, live)
 
 
+def moment(*day: int) -> datetime:
+    return datetime(*day, tzinfo=timezone.utc)
+
+
+@query(
+    "run_states_folded",
+    f"""WITH steps AS (SELECT {_STEP}, ts AS "at" FROM events) SELECT id, status, progress, phase FROM steps
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY "at" DESC, status DESC, progress DESC, phase DESC) = 1""",
+)
+def run_states_folded(spark, sf_dir):
+    """Latest state of every run from a ledger folded twice while it grew, and its open buckets."""
+    steps = steps_of_events(spark, sf_dir)
+    newest = lambda rows: rows.groupBy("id").agg(F.max(F.struct("at", "status", "progress", "phase")).alias("s")).select("id", "s.*")
+    files = LedgerFiles(scratch_path(spark, "ledger"), "id bigint, at timestamp, status string, progress int, phase string", newest)
+    for start, end in ((1, 12), (12, 21), (21, 32)):
+        days = steps.select("id", "at", "status", "progress", "phase").where(f"day(at) >= {start} AND day(at) < {end}")
+        append_rows(days, files, F.col("at"))
+        if end < 32:
+            fold_ledger(spark, files, moment(2024, 1, end))
+    return current_state(ledger_rows(spark, files))
+
+
+def _folded_runs(spark, sf_dir) -> LedgerFiles:
+    """The runs of the orders, appended by when they were created and folded up to 1998."""
+    runs = runs_of_orders(spark, sf_dir)
+    names = [f.split()[0] for f in LEDGER_SCHEMA.split(", ")]
+    typed = dict(f.split() for f in LEDGER_SCHEMA.split(", "))
+    whole = runs.select(*[(F.col(n) if n in runs.columns else F.lit(None)).cast(typed[n]).alias(n) for n in names])
+    files = LedgerFiles(scratch_path(spark, "ledger"), hours=24 * 90)
+    append_rows(whole, files, F.col("created_at"))
+    for year in (1996, 1998):
+        fold_ledger(spark, files, moment(year, 1, 1))
+    return files
+
+
+@query("runs_stale_folded", f"WITH {RUNS} SELECT id FROM runs WHERE {STALE}")
+def runs_stale_folded(spark, sf_dir):
+    """Stale runs, found in the snapshot of unfinished runs and the open buckets alone."""
+    return stale_runs(unfinished_runs(spark, _folded_runs(spark, sf_dir)), now()).select("id")
+
+
+@query("runs_ended_since", f"WITH {RUNS} SELECT id, status FROM runs WHERE created_at >= TIMESTAMP '1997-06-01'")
+def runs_ended_since(spark, sf_dir):
+    """Runs since a day: folds of runs that ended before are pruned."""
+    day = F.lit("1997-06-01").cast("timestamp")
+    rows = ledger_rows(spark, _folded_runs(spark, sf_dir), since=day)
+    return latest_runs(rows).where(F.col("created_at") >= day).select("id", "status")
+
+
 # ---------------------------------------------------------------- whole runs
 def people_csv(spark, sf_dir):
     """Documents as CSV, one line each."""
@@ -370,6 +424,27 @@ def streamed_mask(spark, sf_dir):
     return counter(spark.read.parquet(f"{root}/out"))
 
 
+@query(
+    "streamed_totals",
+    f"""SELECT count(*) AS all_rows, CAST(sum({found('text', EMAIL.pattern)}) AS BIGINT) AS all_matched, count(*) AS written_rows, 5 AS batches FROM documents""",
+)
+def streamed_totals(spark, sf_dir):
+    """Running totals of the documents streamed in batches, the last of which is run twice."""
+    root = scratch_path(spark, "stream")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartition(5, "doc_id").write.parquet(f"{root}/in")
+    places = {"output": f"{root}/out", "running": f"{root}/running"}
+    source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    apply_rule_batches(source, known_rule("email"), ["text"], "REDACTED", checkpoint=f"{root}/checkpoint", **places).awaitTermination()
+    written = spark.read.parquet(places["output"])
+    last = written.agg(F.max(BATCH)).first()[0]
+    written.where(F.col(BATCH) == last).drop(BATCH).write.parquet(f"{root}/again")
+    write_batch(spark.read.parquet(f"{root}/again"), last, **places)
+    told = running_totals(spark, places["running"])
+    counted = spark.read.parquet(places["output"]).agg(F.count(F.lit(1)).alias("written_rows"), F.count_distinct(BATCH).cast("int").alias("batches"))
+    return counted.select(F.lit(told.rows).cast("bigint").alias("all_rows"), F.lit(told.matched).cast("bigint").alias("all_matched"), "written_rows", "batches")
+
+
 @query(
     "second_run_is_remembered",
     """SELECT n AS run, n = 2 AS llm_cached, 'SUCCESS' AS status, (SELECT count(*) FROM documents) AS total_rows, 4 AS transitions

@@ -17,7 +17,7 @@ from rulewright.operators.paging import (
 )
 from rulewright.operators.results import write_counted, write_result
 from rulewright.operators.transform import hide_internal
-from rulewright.sources.files import catalogue
+from rulewright.sources.files import catalogue, update_inventory
 from rulewright.sources.preview import head_of, sample_values
 from rulewright.sources.synthetic import (
     CITIES,
@@ -129,6 +129,41 @@ def file_catalogue_order(spark, sf_dir):
     return rows.join(page_index(spark, path), "path").select("key", place.alias("place"))
 
 
+# Two listings of a store: keys come and go, sizes and dates change, some keys are listed twice.
+_OLD_FILES = """SELECT path, length, stamp(CASE WHEN doc_id % 13 > 0 THEN doc_id * 3600 END) AS modified
+    FROM (SELECT doc_id, {listing} FROM documents) WHERE doc_id % 5 > 0"""
+_NEW_FILES = """SELECT path, length + CASE WHEN doc_id % 17 = 0 THEN copy + 1 ELSE 0 END AS length,
+    stamp(CASE WHEN doc_id % 13 > 0 THEN doc_id * 3600 + CASE WHEN doc_id % 19 = 0 THEN copy * 60 ELSE 0 END END) AS modified
+    FROM (SELECT doc_id, copy, {listing} FROM documents, (SELECT 0 AS copy UNION ALL SELECT 1) AS copies) WHERE doc_id % 7 > 0 AND copy <= doc_id % 2"""
+
+
+def _folded_sql(listing: str) -> str:
+    rows = listing.format(listing=LISTING.format(text="VARCHAR")).replace("stamp(", "to_timestamp(")
+    return f"""SELECT path AS key, length AS size, epoch_us(modified) AS modified_us FROM ({rows})
+    WHERE path NOT LIKE '%/' AND lower(regexp_extract(path, '\\.[^.]*$')) IN ('.csv', '.tsv', '.xlsx', '.xls', '.parquet')
+    QUALIFY row_number() OVER (PARTITION BY path ORDER BY modified DESC NULLS LAST, length DESC) = 1"""
+
+
+@query(
+    "inventory_changes",
+    f"""WITH old AS ({_folded_sql(_OLD_FILES)}), new AS ({_folded_sql(_NEW_FILES)}),
+    both_of AS (SELECT coalesce(n.key, o.key) AS key, n.size, n.modified_us, o.size AS old_size, o.modified_us AS old_us,
+      CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'gone'
+        WHEN o.size IS DISTINCT FROM n.size OR o.modified_us IS DISTINCT FROM n.modified_us THEN 'changed' ELSE 'same' END AS change
+      FROM old o FULL JOIN new n ON o.key = n.key)
+    SELECT * FROM both_of WHERE change <> 'same'""",
+)
+def inventory_changes(spark, sf_dir):
+    """What changed in a store between two listings, kept as generations of an inventory."""
+    docs, folder = table(spark, sf_dir, "documents"), scratch_path(spark, "inventory")
+    for generation, listing in enumerate((_OLD_FILES, _NEW_FILES)):
+        rows = listing.format(listing=LISTING.format(text="STRING")).replace("stamp(", "timestamp_seconds(").replace("documents", "{docs}")
+        files = spark.sql(rows, docs=docs).withColumnRenamed("modified", "modificationTime")
+        changes = update_inventory(spark, files, folder, generation)
+    micros = {"modified_us": F.unix_micros("last_modified"), "old_us": F.unix_micros("old_modified")}
+    return changes.withColumns(micros).drop("last_modified", "old_modified")
+
+
 @query("file_listing")
 def file_listing(spark, sf_dir):
     """The given folder itself; SQL does not see files."""
