@@ -22,11 +22,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.operators.ledger import LEDGER_SCHEMA, is_terminal, latest_runs
+from rulewright.sources.tables import read_or_empty
 
 BUCKET_HOURS = 24
 
@@ -58,7 +58,7 @@ def append_rows(rows: DataFrame, files: LedgerFiles, at: Column) -> None:
 
 def last_fold(spark: SparkSession, files: LedgerFiles) -> int | None:
     """First bucket that is still open; None before the first fold."""
-    return _read(spark, files.folded("folds"), "first_open int").agg(F.max("first_open")).first()[0]
+    return read_or_empty(spark, files.folded("folds"), "first_open int").agg(F.max("first_open")).first()[0]
 
 
 def fold_ledger(spark: SparkSession, files: LedgerFiles, before: datetime) -> bool:
@@ -86,7 +86,7 @@ def ledger_rows(spark: SparkSession, files: LedgerFiles, since: Column | None =
     rows = _open(spark, files, done).drop("bucket")
     if done is None:
         return rows
-    ended = _read(spark, files.folded("ended"), f"{files.schema}, fold int").where(F.col("fold") <= done)
+    ended = read_or_empty(spark, files.folded("ended"), f"{files.schema}, fold int").where(F.col("fold") <= done)
     if since is not None:
         ended = ended.where(F.col("fold") > files.bucket(since))
     return ended.drop("fold").unionByName(_unfinished(spark, files, done)).unionByName(rows)
@@ -103,21 +103,11 @@ def unfinished_runs(spark: SparkSession, files: LedgerFiles) -> DataFrame:
 
 
 def _open(spark: SparkSession, files: LedgerFiles, done: int | None) -> DataFrame:
-    rows = _read(spark, files.path, f"{files.schema}, bucket int")
+    rows = read_or_empty(spark, files.path, f"{files.schema}, bucket int")
     return rows if done is None else rows.where(F.col("bucket") >= done)
 
 
 def _unfinished(spark: SparkSession, files: LedgerFiles, done: int | None) -> DataFrame:
     if done is None:
         return spark.createDataFrame([], files.schema)
-    return _read(spark, files.folded(f"unfinished/fold={done}"), files.schema)
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at a path; empty where nothing has been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return read_or_empty(spark, files.folded(f"unfinished/fold={done}"), files.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from rulewright.errors import SourceError
@@ -51,3 +52,13 @@ def read_table(
     if kind in WORKBOOKS:
         raise SourceError(f"unsupported file type {kind!r}: workbooks are not read; save {key} as CSV or Parquet")
     raise SourceError(f"unsupported file type {kind!r} for {key}")
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at a path; empty where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -20,6 +20,7 @@ from rulewright.functions.text import column
 from rulewright.operators.results import ROWS_PER_FILE, Totals, totals, write_counted
 from rulewright.operators.transform import COUNTER, apply_rule
 from rulewright.rule import TextRule
+from rulewright.sources.tables import read_or_empty
 
 OBSERVED = "totals"
 #: The folders of batches; a hidden column of the result.
@@ -98,7 +99,7 @@ def write_batch(batch: DataFrame, number: int, *, output: str, running: str) ->
     got = write_counted(batch, f"{output}/{BATCH}={number}")
     before = None
     if number:
-        before = spark.read.schema(RUNNING_SCHEMA).parquet(running).where(F.col("batch") == number - 1).first()
+        before = read_or_empty(spark, running, RUNNING_SCHEMA).where(F.col("batch") == number - 1).first()
         if before is None:
             raise RuntimeError(f"the totals at {running} do not hold batch {number - 1}: they are of another checkpoint")
     known = Totals(before["all_rows"], before["all_matched"]) if before else Totals(0, 0)
@@ -111,9 +112,9 @@ def write_batch(batch: DataFrame, number: int, *, output: str, running: str) ->
 
 
 def running_totals(spark: SparkSession, running: str) -> Totals:
-    """Counts of everything that apply_rule_batches has written; the output is not read."""
-    last = spark.read.schema(RUNNING_SCHEMA).parquet(running).orderBy(F.col("batch").desc()).first()
-    return Totals(last["all_rows"], last["all_matched"])
+    """Counts of everything that apply_rule_batches has written, 0 before the first batch; the output is not read."""
+    last = read_or_empty(spark, running, RUNNING_SCHEMA).orderBy(F.col("batch").desc()).first()
+    return Totals(last["all_rows"], last["all_matched"]) if last else Totals(0, 0)
 
 
 def stream_totals(spark: SparkSession, output: str) -> Totals:

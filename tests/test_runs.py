@@ -25,7 +25,8 @@ from rulewright.operators.ledger import (
 from rulewright.operators.resolve import judge_answers, keyed
 from rulewright.plans.run import ask
 from rulewright.session import scratch_path, scratch_root
-from rulewright.streaming.rules import batch_totals, stream_totals
+from rulewright.operators.ledger_files import LedgerFiles, append_rows, fold_ledger, last_fold, ledger_rows, unfinished_runs
+from rulewright.streaming.rules import BATCH, apply_rule_batches, batch_totals, running_totals, stream_totals, write_batch
 from rulewright.sources.tables import read_table
 from tests.test_resolve import ANSWERS, MEMORY, rule
 
@@ -218,6 +219,69 @@ def test_stream(spark, tmp_path):
     assert (whole.rows, whole.matched) == (21, 11)
 
 
+def test_a_replayed_batch_counts_once(spark, tmp_path):
+    source, checkpoint = str(tmp_path / "in"), tmp_path / "checkpoint"
+    places = {"output": str(tmp_path / "out"), "running": str(tmp_path / "running")}
+    rows = spark.createDataFrame([(i, f"u{i}@example.org" if i % 2 else "none") for i in range(20)], "id int, t string")
+    rows.repartition(4).write.parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("id int, t string").option("maxFilesPerTrigger", 1).parquet(source)
+        apply_rule_batches(stream, known_rule("email"), ["t"], "x", checkpoint=str(checkpoint), **places).awaitTermination()
+        told, out = running_totals(spark, places["running"]), spark.read.parquet(places["output"])
+        return (told.rows, told.matched), (out.count(), out.where("t = 'x'").count()), out.select(BATCH).distinct().count()
+
+    first = run()
+    assert first == ((20, 10), (20, 10), 4)
+    # The last batch is not known to be done, so Spark runs it again.
+    for name in ("3", ".3.crc"):
+        (checkpoint / "commits" / name).unlink(missing_ok=True)
+    assert run() == first
+    rows.limit(1).write.mode("append").parquet(source)
+    assert run()[0][0] == 21
+    none = str(tmp_path / "none")
+    assert running_totals(spark, none).rows == 0
+    with pytest.raises(RuntimeError, match="another checkpoint"):
+        write_batch(rows.withColumn("__matched", F.lit(0)), 4, output=str(tmp_path / "other"), running=none)
+
+
+def step(run_id, status, day, progress=0):
+    return {"id": run_id, "status": status, "progress": progress, "started_at": at(day), "finished_at": at(day) if status == "SUCCESS" else None}
+
+
+def test_a_folded_ledger_tells_what_its_rows_tell(spark, tmp_path):
+    files = LedgerFiles(str(tmp_path / "ledger"), hours=1)
+    assert ledger_rows(spark, files).count() == 0 and unfinished_runs(spark, files).count() == 0 and last_fold(spark, files) is None
+    rows = [
+        step("a", "RUNNING", 1), step("a", "SUCCESS", 2), step("b", "RUNNING", 1), step("c", "RUNNING", 3), step("b", "RUNNING", 4, 50),
+        step("c", "SUCCESS", 5), step("d", "RUNNING", 5), step("a", "RUNNING", 1),
+    ]
+    whole = ledger(spark, *rows)
+    expected = sorted(map(str, latest_runs(whole).collect()))
+    running = sorted(r["id"] for r in latest_runs(whole).where("status = 'RUNNING'").collect())
+    assert running == ["b", "d"]
+
+    def told():
+        return sorted(map(str, latest_runs(ledger_rows(spark, files)).collect())), sorted(r["id"] for r in unfinished_runs(spark, files).collect())
+
+    append_rows(whole, files, F.coalesce("finished_at", "started_at"))
+    assert told() == (expected, running)
+    assert fold_ledger(spark, files, at(3)) and told() == (expected, running)
+    assert not fold_ledger(spark, files, at(3)) and not fold_ledger(spark, files, at(2))
+    # A fold that died left files and no record: they are not read, and it can be run again.
+    done = last_fold(spark, files)
+    whole.limit(1).write.parquet(files.folded(f"ended/fold={done + 2}"))
+    assert told() == (expected, running)
+    assert fold_ledger(spark, files, at(5)) and last_fold(spark, files) == done + 2 and told() == (expected, running)
+    ended = spark.read.schema(files.schema + ", fold int").parquet(files.folded("ended"))
+    assert sorted((r["id"], r["fold"] - done) for r in ended.collect()) == [("a", 0)]
+    assert fold_ledger(spark, files, at(23)) and told() == (expected, running)
+    assert sorted(r["id"] for r in ended.collect()) == ["a"] and spark.read.parquet(files.folded("unfinished/fold=" + str(last_fold(spark, files)))).count() == 2
+    assert {r["id"] for r in ledger_rows(spark, files, since=F.lit(at(5))).collect()} == {"b", "c", "d"}
+    plan = ledger_rows(spark, files, since=F.lit(at(5)))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan and "isnotnull(bucket" in plan
+
+
 def test_scratch_folder_is_the_session_s(spark):
     assert scratch_path(spark, "x").startswith(scratch_root(spark))
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")

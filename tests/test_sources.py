@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from rulewright import SourceError, list_files, preview, read_table, sample_values
 from rulewright.functions.text import extension_of, human_size
 from rulewright.sources.delimited import detect_delimiter
-from rulewright.sources.files import catalogue
+from rulewright.sources.files import compare_inventories, inventory, update_inventory, catalogue
 from rulewright.sources.synthetic import make_contacts, make_tickets
 from rulewright.sources.tables import extension, resolve_uri
 
@@ -123,6 +125,25 @@ def test_catalogue(spark):
     assert rows[1]["extension"] == ".parquet"
 
 
+def test_inventories(spark, tmp_path):
+    shape = "path string, length long, modificationTime timestamp"
+    day = lambda n: dt.datetime(2024, 1, n, tzinfo=dt.timezone.utc)
+    old = spark.createDataFrame([("a.csv", 1, day(1)), ("b.csv", 1, None), ("c.csv", 1, day(1)), ("d.txt", 1, day(1)), ("e.csv", 1, day(1)), (None, 1, day(1))], shape)
+    new = spark.createDataFrame(
+        [("a.csv", 1, day(1)), ("b.csv", 1, day(2)), ("e.csv", 2, day(1)), ("e.csv", 1, day(1)), ("e.csv", 9, None), ("f.csv/", 0, None), ("g.csv", 5, None)], shape
+    )
+    first = update_inventory(spark, old, str(tmp_path), 0)
+    assert sorted((r["key"], r["change"]) for r in first.collect()) == [(k, "added") for k in ("a.csv", "b.csv", "c.csv", "e.csv")]
+    for _ in range(2):
+        then = update_inventory(spark, new, str(tmp_path), 1)
+        assert sorted((r["key"], r["change"], r["size"], r["old_size"]) for r in then.collect()) == [
+            ("b.csv", "changed", 1, 1), ("c.csv", "gone", None, 1), ("e.csv", "changed", 2, 1), ("g.csv", "added", 5, None),
+        ]
+    assert sorted(r["change"] for r in compare_inventories(inventory(old), inventory(new)).collect()) == ["added", "changed", "changed", "gone", "same"]
+    gone = update_inventory(spark, new.limit(0), str(tmp_path), 2)
+    assert {r["change"] for r in gone.collect()} == {"gone"} and gone.count() == 4
+
+
 @pytest.mark.parametrize("size, shown", [
     (0, "0.0 B"), (30976, "30.2 KB"), (1329, "1.3 KB"), (1023, "1023.0 B"), (1024, "1.0 KB"), (5 * 1024**3, "5.0 GB"), (2**50, "1.0 PB"), (2**60, "1024.0 PB"),
 ])
