@@ -29,6 +29,7 @@ from rulewright.operators.ledger_files import LedgerFiles, append_rows, fold_led
 from rulewright.streaming.rules import BATCH, apply_rule_batches, batch_totals, running_totals, stream_totals, write_batch
 from rulewright.sources.tables import read_table
 from tests.test_resolve import ANSWERS, MEMORY, rule
+from workload.runs import streamed_mask
 
 
 
@@ -219,6 +220,14 @@ def test_stream(spark, tmp_path):
     assert (whole.rows, whole.matched) == (21, 11)
 
 
+def test_a_folder_of_files_is_streamed_and_masked(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"https://h{i}.example/a/{i}" if i % 2 else None) for i in range(8)], "page_id long, url string")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    pages.write.parquet(str(tmp_path / "other-pages.parquet"))
+    got = sorted(tuple(r) for r in streamed_mask(spark, str(tmp_path)).select("page_id", "url", "matched").collect())
+    assert got == [(i, f"https://h{i}.example/***" if i % 2 else None, i % 2) for i in range(8)]
+
+
 def test_a_replayed_batch_counts_once(spark, tmp_path):
     source, checkpoint = str(tmp_path / "in"), tmp_path / "checkpoint"
     places = {"output": str(tmp_path / "out"), "running": str(tmp_path / "running")}

@@ -382,8 +382,9 @@ def run_rule_recorded(spark, sf_dir):
 
 # ---------------------------------------------------------------- streams
 def stream_of(spark, sf_dir, name):
+    """A table as a stream, be it one file or a folder of files: a stream takes a file only by a pattern."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{{{name}}}.parquet")
 
 
 @query(
