@@ -29,7 +29,7 @@ from rulewright.operators.ledger_files import LedgerFiles, append_rows, fold_led
 from rulewright.streaming.rules import BATCH, apply_rule_batches, batch_totals, running_totals, stream_totals, write_batch
 from rulewright.sources.tables import read_table
 from tests.test_resolve import ANSWERS, MEMORY, rule
-from workload.runs import streamed_mask
+from workload.runs import streamed_mask, streamed_replace
 
 
 
@@ -228,6 +228,13 @@ def test_a_folder_of_files_is_streamed_and_masked(spark, tmp_path):
     assert got == [(i, f"https://h{i}.example/***" if i % 2 else None, i % 2) for i in range(8)]
 
 
+def test_a_folder_of_files_is_streamed_and_replaced(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"to u{i}@example.org" if i % 2 else None) for i in range(8)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in streamed_replace(spark, str(tmp_path)).select("doc_id", "text", "matched").collect())
+    assert got == [(i, "to REDACTED" if i % 2 else None, i % 2) for i in range(8)]
+
+
 def test_a_replayed_batch_counts_once(spark, tmp_path):
     source, checkpoint = str(tmp_path / "in"), tmp_path / "checkpoint"
     places = {"output": str(tmp_path / "out"), "running": str(tmp_path / "running")}
