@@ -6,7 +6,7 @@ import os
 
 import pyarrow as pa
 
-from rulewright.llm import jaccard_join, packing
+from rulewright.llm import hmm, jaccard_join, packing
 from rulewright.llm.common import stored
 from rulewright.llm.queries import tokenizer_path
 
@@ -37,6 +37,38 @@ def test_another_operator_ends_what_packing_remembers(spark):
     assert sum(_wordbooks(spark).values()) == 0
 
 
+def test_scoring_ends_what_packing_remembers(spark):
+    docs = _texts(spark)
+    assert packing.pack(docs, tokenizer_path()).count() >= 2000
+    assert sum(_wordbooks(spark).values()) >= 1
+    for _ in range(3):  # four tasks at once, so that all workers get one
+        hmm.blocks(docs, 4).count()
+    assert sum(_wordbooks(spark).values()) == 0
+
+
+def test_expected_counts_hold_one_lot(monkeypatch):
+    """Neither a lot's probabilities add up with the next one's, nor its weights with its emissions."""
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    model = hmm.Model.first(rnd.random(hmm.CLASSES))
+    kinds, sizes = rnd.integers(0, hmm.CLASSES, 2000 * 150), np.full(2000, 150)
+    monkeypatch.setattr(hmm, "LOT", 1 << 16)
+    tracemalloc.start()
+    hmm.expected(model, kinds, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * hmm.LOT * hmm.STATES * 8
+
+
+def test_scores_shuffle_no_words(spark):
+    """What meets the corpus counts in the end is a block without its words and their own counts."""
+    plan = hmm.score(_texts(spark, 50), rounds=1)._jdf.queryExecution().executedPlan().toString()
+    assert "places" in plan and "words" not in plan
+
+
 def test_tasks_of_packing_share_what_they_remember(spark):
     """One book of words in a worker, however many tasks it ran."""
     docs = stored(_texts(spark), "texts")
